@@ -1,8 +1,10 @@
 """The queries of this folder by name, and the SQL that gives the same rows where there is one."""
 
+from hushframe.llm.html_text import op9_html_extraction
 from hushframe.llm.media_columns import op3_media_columns
 from hushframe.llm.mixing import op5_mixing_sources
 from hushframe.llm.token_counts import op8_token_counts
+from hushframe.llm.url_filters import op6_url_filters
 
-QUERIES = {f.__name__: f for f in (op3_media_columns, op5_mixing_sources, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_media_columns, op5_mixing_sources, op6_url_filters, op8_token_counts, op9_html_extraction)}
 ORACLE_SQL: dict[str, str] = {}
