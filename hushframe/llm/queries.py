@@ -1,5 +1,6 @@
 """The queries of this folder by name, and the SQL that gives the same rows where there is one."""
 
+from hushframe.llm.embedding_dedup import op10_embedding_near_dedup
 from hushframe.llm.html_text import op9_html_extraction
 from hushframe.llm.media_columns import op3_media_columns
 from hushframe.llm.mixing import op5_mixing_sources
@@ -8,5 +9,5 @@ from hushframe.llm.substring_dedup import op4_substring_dedup
 from hushframe.llm.token_counts import op8_token_counts
 from hushframe.llm.url_filters import op6_url_filters
 
-QUERIES = {f.__name__: f for f in (op3_media_columns, op4_substring_dedup, op5_mixing_sources, op6_url_filters, op7_ngram_jaccard_join, op8_token_counts, op9_html_extraction)}
+QUERIES = {f.__name__: f for f in (op3_media_columns, op4_substring_dedup, op5_mixing_sources, op6_url_filters, op7_ngram_jaccard_join, op8_token_counts, op9_html_extraction, op10_embedding_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
