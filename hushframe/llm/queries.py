@@ -5,9 +5,10 @@ from hushframe.llm.html_text import op9_html_extraction
 from hushframe.llm.media_columns import op3_media_columns
 from hushframe.llm.mixing import op5_mixing_sources
 from hushframe.llm.ngram_join import op7_ngram_jaccard_join
+from hushframe.llm.quality import op2_quality_classifier
 from hushframe.llm.substring_dedup import op4_substring_dedup
 from hushframe.llm.token_counts import op8_token_counts
 from hushframe.llm.url_filters import op6_url_filters
 
-QUERIES = {f.__name__: f for f in (op3_media_columns, op4_substring_dedup, op5_mixing_sources, op6_url_filters, op7_ngram_jaccard_join, op8_token_counts, op9_html_extraction, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_media_columns, op4_substring_dedup, op5_mixing_sources, op6_url_filters, op7_ngram_jaccard_join, op8_token_counts, op9_html_extraction, op10_embedding_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
