@@ -8,6 +8,7 @@ from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hushframe.llm.common import cut, table
@@ -134,7 +135,7 @@ def source_targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, size, source_size, target, copies): how often each row enters the mix.
+    """(id, source, size, source_size, target, copies): how often each row enters the mix.
 
     A row's size is its number of words. A source is wanted target / source_size times: each of its rows enters the
     whole part of that, and once more where rounding its fraction gives 1. Rounding goes through a tree: rows meet
@@ -160,7 +161,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, see
     # the sources' number is bounded above, so their table is
     rows = sized.join(F.broadcast(dims), sized["source"].eqNullSafe(dims["source"])).drop(dims["source"])
     rows = rows.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).withColumn("key", F.xxhash64("id", "source", "time"))
-    rows = rows.select("id", "size", "src", "source_size", "target", "whole", "part", "key")
+    rows = rows.select("id", "source", "size", "src", "source_size", "target", "whole", "part", "key")
     count = sized.agg(F.sum("times")).first()[0] or 0
     units = rows.where("part > 0 and size > 0").select("src", "key", "size", F.col("part").alias("p"))
     bars = _bars(units)
@@ -174,10 +175,27 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, see
     small = small.select("src", "key", "size", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p") + F.col("shift"))).alias("p"))
     rounded = large.union(_tree(small, count, f"{seed}|small"))
     return rows.join(rounded, "key", "left").select(
-        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("whole") + F.coalesce("more", F.lit(0))).cast("int").alias("copies")
+        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("whole") + F.coalesce("more", F.lit(0))).cast("int").alias("copies")
     )
 
 
+def resample(docs: DataFrame, **options) -> DataFrame:
+    """docs (doc_id, text, source and more) as mixed: each row as many times as its copies, none with 0."""
+    key = ["__id", "__source", "__size"]
+    sizes = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count(F.col("text"), F.lit(WORD))).cast("bigint")
+    mixed = mix(docs, **options)
+    times = cut(mixed.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.collect_list("copies").alias("__copies")))
+    sized = docs.withColumns({"__id": F.col("doc_id"), "__source": F.col("source").cast("string"), "__size": sizes})
+    same = [sized[k].eqNullSafe(times[k]) for k in key]
+    parts = [sized.join(times.where(F.size("__copies") == 1).hint("shuffle_hash"), same).withColumn("__n", F.col("__copies")[0])]
+    again = times.where(F.size("__copies") > 1)
+    if again.limit(1).count():  # rows that repeat in id, source and size: told apart by rank
+        w = Window.partitionBy(*[times[k] for k in key]).orderBy("text")
+        parts.append(sized.join(again.hint("shuffle_hash"), same).withColumn("__n", F.get("__copies", F.row_number().over(w) - 1)))
+    out = [p.withColumn("__n", F.explode(F.array_repeat(F.lit(1), F.col("__n")))).select(*[docs[c] for c in docs.columns]) for p in parts]
+    return out[0] if len(out) == 1 else out[0].union(out[1])
+
+
 def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the mix takes of each."""
     mixed = mix(table(spark, sf_dir, "documents"))

@@ -184,14 +184,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int =
     return QualityModel(context, shapes, Network(x, y, np.arange(len(y)) % 5 == 4), 0.5)
 
 
-def score(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """docs with a column score (0 to 1; higher: label 1 likelier), from the whole text alone.
+def score(docs: DataFrame, model: QualityModel, name: str = "score") -> DataFrame:
+    """docs with a column `name` (0 to 1; higher: label 1 likelier), from the whole text alone.
 
     Null and empty texts get the score of no words. Rows are independent; all other columns pass through, a column
-    named score is replaced; an empty table gives none.
+    of that name is replaced; an empty table gives none.
     """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # some MB whatever the corpus
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # some MB whatever the corpus
 
     @F.pandas_udf("double")
     def run(texts):  # the column arrives as pandas, of binary
@@ -200,7 +199,15 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
 
         return pd.Series(np.concatenate(out) if out else np.empty(0))
 
-    return docs.withColumn("score", run(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    return docs.withColumn(name, run(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that a model of labels scores threshold or more; all rows if labels have no two kinds."""
+    model = fit(docs, labels)
+    if model.network is None:
+        return docs
+    return score(docs, model, "__score").where(F.col("__score") >= threshold).drop("__score")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
