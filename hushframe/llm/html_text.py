@@ -26,8 +26,8 @@ SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul men
 ENDS = {
     **{t: ("p",) for t in BLOCK - {"li", "dd", "dt", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"}},
     "li": ("li", "p"), "dd": ("dd", "dt", "p"), "dt": ("dd", "dt", "p"), "option": ("option",),
-    "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"),
-    "tbody": ("thead", "tbody", "tfoot", "tr", "td", "th", "p"), "thead": ("caption",), "tfoot": ("thead", "tbody", "tr", "td", "th", "p"),
+    "tr": ("tr", "td", "th", "p", "caption"), "td": ("td", "th", "p", "caption"), "th": ("td", "th", "p", "caption"),
+    "tbody": ("thead", "tbody", "tfoot", "tr", "td", "th", "p", "caption"), "thead": ("caption",), "tfoot": ("thead", "tbody", "tr", "td", "th", "p", "caption"),
     "body": ("head",),
 }
 BOUNDS = {"li": ("ul", "ol", "menu", "dir"), "dd": ("dl",), "dt": ("dl",)} | dict.fromkeys(("tr", "td", "th", "tbody", "thead", "tfoot"), ("table",))

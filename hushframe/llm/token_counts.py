@@ -118,7 +118,8 @@ def count_tokens(docs: DataFrame, path: str, cache: str, id_col: str = "doc_id",
     slim = cut(keyed.select("id", "digest", F.octet_length("t").cast("bigint").alias("n_bytes")))
     misses = slim.groupBy("digest").agg(F.min("id").alias("id")).join(known.select("digest"), "digest", "left_anti")
     # the ids of missing texts are the build side; the texts stream past them unsorted
-    chosen = keyed.join(misses.hint("shuffle_hash"), ["id", "digest"], "left_semi")
+    same = (keyed["digest"] == misses["digest"]) & keyed["id"].eqNullSafe(misses["id"])
+    chosen = keyed.join(misses.hint("shuffle_hash"), same, "left_semi")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _encoder(path)
