@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,50 +64,112 @@ class Tree:
                 np.maximum.at(radius, where, d[np.array(centres)[where], np.arange(n)])
                 self.levels.append((np.array(centres), np.array(parents), radius + np.float32(SLACK)))
             home, centres_above = where, centres
-        self.leaf = home
-        order = np.argsort(home, kind="stable")
-        cuts = np.searchsorted(home[order], np.arange(len(centres_above) + 1))
+        self._leaves(home)
+
+    def _leaves(self, leaf: np.ndarray) -> None:
+        self.leaf = leaf
+        order = np.argsort(leaf, kind="stable")
+        cuts = np.searchsorted(leaf[order], np.arange(int(leaf.max()) + 2))
         self.members = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
+    def packed(self) -> bytes:
+        """The tree without its vectors: made once a node, read in each of its tasks."""
+        return pickle.dumps((self.levels, self.leaf))
+
+    @classmethod
+    def unpacked(cls, data: bytes, x: np.ndarray) -> Tree:
+        tree = cls.__new__(cls)
+        tree.x = x.astype(np.float32)
+        tree.levels, leaf = pickle.loads(data)
+        tree._leaves(leaf)
+        return tree
+
+
+#: Share of all pairs of balls over which a level is multiplied whole instead of pair by pair; rows multiplied at once.
+DENSE, ROWS = 0.05, 512
 
-def _below(active: np.ndarray | None, tree: Tree, other: Tree, level: int, tau: float) -> np.ndarray:
-    """Which balls of the two trees' levels can hold a pair within tau, among children of active ones."""
-    (ca, pa_, ra), (cb, pb, rb) = tree.levels[min(level, len(tree.levels) - 1)], other.levels[min(level, len(other.levels) - 1)]
-    near = _distance(tree.x[ca], other.x[cb]) <= ra[:, None] + rb[None, :] + np.float32(tau + SLACK)
-    if active is not None:
-        if level < len(tree.levels):
-            active = active[pa_]
-        if level < len(other.levels):
-            active = active[:, pb]
-        near &= active
-    return near
+
+def _augmented(tree: Tree, level: int, tau: float) -> tuple[np.ndarray, np.ndarray]:
+    """Centres with three more columns on either side, so that one product compares distance and radii.
+
+    |a - b| <= ra + rb + tau is a.b + ra rb + (ra^2 / 2 + tau ra) + (rb^2 / 2 + tau rb) >= 1 - tau^2 / 2.
+    """
+    centres, _, r = tree.levels[level]
+    own, one = r * r / 2 + np.float32(tau) * r, np.ones_like(r)
+    x = tree.x[centres]
+    return np.column_stack([x, r, own, one]), np.column_stack([x, r, one, own])
+
+
+def _children(tree: Tree, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in this level in order of their parents, and where each parent's begin; a level past the last repeats it."""
+    if level >= len(tree.levels):
+        n = len(tree.levels[-1][0])
+        return np.arange(n), np.arange(n + 1)
+    parents = tree.levels[level][1]
+    above = len(tree.levels[level - 1][0])
+    order = np.argsort(parents, kind="stable")
+    return order, np.searchsorted(parents[order], np.arange(above + 1))
+
+
+def _active(a: Tree, b: Tree, tau: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of leaves that may hold a link: level by level, only the children of pairs of balls that their radii let near."""
+    least = np.float32(1 - tau * tau / 2 - SLACK)
+    p = q = np.zeros(1, np.int64)
+    for level in range(max(len(a.levels), len(b.levels))):
+        la, lb = min(level, len(a.levels) - 1), min(level, len(b.levels) - 1)
+        left, right = _augmented(a, la, tau)[0], _augmented(b, lb, tau)[1]
+        if level:
+            (ca, sa), (cb, sb) = _children(a, level), _children(b, level)
+            na, nb = (sa[p + 1] - sa[p]), (sb[q + 1] - sb[q])
+        if not level or (na * nb).sum() > DENSE * len(left) * len(right):
+            if level:
+                above = np.zeros((len(sa) - 1, len(sb) - 1), bool)
+                above[p, q] = True
+                up_a, up_b = np.empty(len(left), np.int64), np.empty(len(right), np.int64)
+                up_a[ca], up_b[cb] = np.repeat(np.arange(len(sa) - 1), np.diff(sa)), np.repeat(np.arange(len(sb) - 1), np.diff(sb))
+            found = []
+            for at in range(0, len(left), ROWS):
+                near = left[at : at + ROWS] @ right.T >= least
+                if level:
+                    near &= above[up_a[at : at + ROWS]][:, up_b]
+                hit = np.flatnonzero(near)
+                found.append(hit + at * len(right))
+            flat = np.concatenate(found)
+            p, q = flat // len(right), flat % len(right)
+        else:
+            n = na * nb
+            pair = np.repeat(np.arange(len(p)), n)
+            k = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+            i, j = ca[sa[p[pair]] + k // nb[pair]], cb[sb[q[pair]] + k % nb[pair]]
+            keep = [np.einsum("ij,ij->i", left[i[s : s + 65536]], right[j[s : s + 65536]]) >= least for s in range(0, len(i), 65536)]
+            keep = np.concatenate(keep) if keep else np.empty(0, bool)
+            p, q = i[keep], j[keep]
+        if not len(p):
+            break
+    return p, q
 
 
 def dual_pairs(a: Tree, b: Tree, xa: np.ndarray, xb: np.ndarray, tau: float, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of rows of xa and xb (unit vectors in double precision) of that cosine or more; i < j if they are the same."""
-    active = None
-    for level in range(max(len(a.levels), len(b.levels))):
-        active = _below(active, a, b, level, tau)
-        if not active.any():
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-    out_i, out_j = [], []
-    for p, q in zip(*(v.tolist() for v in np.nonzero(active))):
-        if same and q < p:
-            continue
-        i, j = a.members[p], b.members[q]
-        if len(i) == 1 and len(j) == 1:
-            if (i[0] != j[0] or not same) and xa[i[0]] @ xb[j[0]] >= cosine:
-                out_i.append(i)
-                out_j.append(j)
-            continue
+    p, q = _active(a, b, tau)
+    if same:
+        p, q = p[p <= q], q[p <= q]
+    sizes_a, sizes_b = np.array([len(m) for m in a.members]), np.array([len(m) for m in b.members])
+    single = (sizes_a[p] == 1) & (sizes_b[q] == 1)
+    one_a, one_b = np.array([m[0] for m in a.members]), np.array([m[0] for m in b.members])
+    i, j = one_a[p[single]], one_b[q[single]]
+    if same:
+        i, j = i[i != j], j[i != j]
+    keep = np.concatenate([np.einsum("ij,ij->i", xa[i[s : s + 65536]], xb[j[s : s + 65536]]) >= cosine for s in range(0, len(i), 65536)] or [np.empty(0, bool)])
+    out_i, out_j = [i[keep]], [j[keep]]
+    for s, t in zip(p[~single].tolist(), q[~single].tolist()):
+        i, j = a.members[s], b.members[t]
         hit = xa[i] @ xb[j].T >= cosine
-        if same and p == q:
+        if same and s == t:
             hit = np.triu(hit, 1)
         u, v = np.nonzero(hit)
         out_i.append(i[u])
         out_j.append(j[v])
-    if not out_i:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
@@ -186,18 +249,18 @@ def near_links(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id",
         return pa.table({
             "cell": rows.column("cell").slice(0, 1), "block": rows.column("block").slice(0, 1).cast(pa.int32()), "dim": pa.array([len(flat) // len(vs)], pa.int32()),
             "items": pa.array([rows.column("item").to_numpy().tobytes()]), "times": pa.array([rows.column("times").to_numpy().tobytes()]),
-            "vs": pa.array([_unit(flat.reshape(len(vs), -1)).tobytes()]),
+            "vs": pa.array([(x := _unit(flat.reshape(len(vs), -1))).tobytes()]), "tree": pa.array([Tree(x).packed()], pa.binary()),
         })
 
     # both small tables are bounded by CELLS squared
     nodes = placed.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
-    nodes = cut(nodes.select("cell", "block", "item", "times", "v").groupBy("cell", "block").applyInArrow(gather, "cell bigint, block int, dim int, items binary, times binary, vs binary"))
+    nodes = cut(nodes.select("cell", "block", "item", "times", "v").groupBy("cell", "block").applyInArrow(gather, "cell bigint, block int, dim int, items binary, times binary, vs binary, tree binary"))
     tasks = (
         nodes.join(F.broadcast(pairs), "cell")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
         .withColumn("bx", F.when(F.col("x") == F.col("y"), F.least("block", "other")).otherwise(F.when(F.col("cell") == F.col("x"), F.col("block")).otherwise(F.col("other"))))
         .withColumn("by", F.when(F.col("x") == F.col("y"), F.greatest("block", "other")).otherwise(F.when(F.col("cell") == F.col("x"), F.col("other")).otherwise(F.col("block"))))
-        .select("x", "bx", "y", "by", "cell", "block", "dim", "items", "times", "vs").distinct()
+        .select("x", "bx", "y", "by", "cell", "block", "dim", "items", "times", "vs", "tree")
     )
 
     def traverse(key: tuple, rows: pa.Table) -> pa.Table:
@@ -207,8 +270,8 @@ def near_links(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id",
         read = lambda r: (np.frombuffer(r["items"], np.int64), np.frombuffer(r["times"], np.int64), np.frombuffer(r["vs"], np.float64).reshape(-1, r["dim"]))
         ia, ta, xa = read(left)
         ib, tb, xb = (ia, ta, xa) if same else read(right)
-        ta_, tb_ = Tree(xa), None
-        tb_ = ta_ if same else Tree(xb)
+        ta_ = Tree.unpacked(left["tree"], xa)
+        tb_ = ta_ if same else Tree.unpacked(right["tree"], xb)
         i, j = dual_pairs(ta_, tb_, xa, xb, tau, cosine, same)
         counts = [np.bincount(i, weights=tb[j], minlength=len(ia)).astype(np.int64), np.bincount(j, weights=ta[i], minlength=len(ib)).astype(np.int64)]
         ids, links = np.concatenate([ia, ib]), np.concatenate(counts)
