@@ -7,9 +7,45 @@ from hushframe.llm.mixing import op5_mixing_sources
 from hushframe.llm.ngram_join import op7_ngram_jaccard_join
 from hushframe.llm.quality import op2_quality_classifier
 from hushframe.llm.sentence_pieces import op1_sentence_pieces
-from hushframe.llm.substring_dedup import op4_substring_dedup
+from hushframe.llm.substring_dedup import LEAST_WORDS, op4_substring_dedup
 from hushframe.llm.token_counts import op8_token_counts
 from hushframe.llm.url_filters import op6_url_filters
 
 QUERIES = {f.__name__: f for f in (op1_sentence_pieces, op2_quality_classifier, op3_media_columns, op4_substring_dedup, op5_mixing_sources, op6_url_filters, op7_ngram_jaccard_join, op8_token_counts, op9_html_extraction, op10_embedding_near_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _sets(source: str, k: int, least: int = 1) -> str:
+    """w(key, words), s(key, shingle) and n(key, n) of source, which selects key and text."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""w AS (SELECT * FROM (SELECT key, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+'),
+lambda x: x <> '') words FROM ({source})) WHERE len(words) >= {least}),
+s AS (SELECT DISTINCT key, unnest(CASE WHEN len(words) < {k} THEN [array_to_string(words, ' ')]
+ELSE list_transform(range(1, len(words) - {k - 2}), lambda i: array_to_string(words[i:i + {k - 1}], ' ')) END) g FROM w WHERE len(words) > 0),
+n AS (SELECT key, count(*) n FROM s GROUP BY key)"""
+
+
+#: e(x, y) and reach(d, r): links both ways, and what they lead to.
+_REACH = """e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach(d, r) AS (SELECT x, y FROM e UNION SELECT d, y FROM reach JOIN e ON r = x),
+c AS (SELECT d, least(d, min(r)) root FROM reach GROUP BY d)"""
+
+
+def _links(percent: int) -> str:
+    return f"""p AS (SELECT a.key x, b.key y, count(*) o FROM s a JOIN s b ON a.g = b.g AND a.key < b.key GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.key = x JOIN n ny ON ny.key = y WHERE 100 * o >= {percent} * (nx.n + ny.n - o))"""
+
+
+#: Lines as units: their key is doc_id * 1000000 and the line's number.
+_LINES = """SELECT doc_id * 1000000 + k - 1 AS key, lines[k] AS text
+FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) k FROM (SELECT doc_id, string_split(text, chr(10)) lines FROM documents WHERE text IS NOT NULL))"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": f"""WITH RECURSIVE {_sets(_LINES, 5, LEAST_WORDS)}, {_links(80)}, {_REACH}
+SELECT d // 1000000 doc_id, (d % 1000000)::INT paragraph, root // 1000000 kept_doc_id, (root % 1000000)::INT kept_paragraph, n n_shingles FROM c JOIN n ON key = d WHERE root <> d""",
+    "op7_ngram_jaccard_join": f"""WITH RECURSIVE {_sets("SELECT doc_id AS key, text FROM documents", 3)}, {_links(90)}, {_REACH}
+SELECT doc_id, coalesce(n, 0) n_shingles, coalesce(root, doc_id) component_id FROM documents LEFT JOIN n ON key = doc_id LEFT JOIN c ON d = doc_id""",
+    "op10_embedding_near_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] v FROM embeddings),
+l AS (SELECT a.vec_id x, b.vec_id y FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.95), {_REACH},
+m AS (SELECT x, count(*) n FROM e GROUP BY x)
+SELECT vec_id, coalesce(n, 0) n_links, coalesce(root, vec_id) component_id, coalesce(root, vec_id) = vec_id AS kept FROM v LEFT JOIN m ON x = vec_id LEFT JOIN c ON d = vec_id""",
+}

@@ -62,4 +62,4 @@ def without_passages(docs: DataFrame, removals: DataFrame) -> DataFrame:
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All repeated passages of all documents, each with the place of the one that stays."""
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("cluster")
