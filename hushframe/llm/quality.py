@@ -13,7 +13,7 @@ from hushframe.llm import textops
 from hushframe.llm.common import slices, table
 
 #: Labelled rows that the model is fitted on at most, those of least hash; bytes of text that they hold at most.
-TRAIN_ROWS, TRAIN_BYTES = 6000, 48 << 20
+TRAIN_ROWS, TRAIN_BYTES = 5000, 20 << 20
 #: Words fall into this many buckets; a vector's length; nonzero entries of an index vector; neighbours to a side.
 BUCKETS, DIM, NONZERO, REACH = 1 << 15, 48, 6, 2
 #: Shapes of words: kinds of the first and the last two bytes, and whether the word repeats the one before.
@@ -21,6 +21,8 @@ KINDS = 8
 SHAPES = KINDS**3 * 2
 HIDDEN, EPOCHS, STEP, DECAY = 32, 60, 3e-3, 1e-4
 THRESHOLD = 0.7
+#: Words whose neighbours are added up at once.
+WORDS = 1 << 18
 U = np.uint64
 
 
@@ -55,27 +57,32 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     again[1:] = h[1:] == h[:-1]
     again[bounds[:-1][bounds[:-1] < len(h)]] = 0
     shape = ((first.astype(np.int64) * KINDS + last) * KINDS + before) * 2 + again
-    return (h >> U(49)).astype(np.int64), shape, bounds
+    return (h >> U(49)).astype(np.int32), shape.astype(np.int16), bounds
 
 
 def context_vectors(bucket: np.ndarray, bounds: np.ndarray, index: np.ndarray) -> np.ndarray:
     """Each bucket's sum of its neighbours' index vectors, scaled to unit length."""
     out = np.zeros((BUCKETS, DIM), np.float32)
-    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    row = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
     for gap in range(1, REACH + 1):
-        ok = np.flatnonzero(row[gap:] == row[:-gap])
-        for x, y in ((ok, ok + gap), (ok + gap, ok)):
-            pair = bucket[x] * BUCKETS + bucket[y]
-            kinds, times = np.unique(pair, return_counts=True)
-            a, b = kinds // BUCKETS, kinds % BUCKETS  # sorted by a
-            cuts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.empty(0, np.int64)
-            for at in range(0, len(cuts), 2048):
-                lo, hi = cuts[at], cuts[at + 2048] if at + 2048 < len(cuts) else len(a)
-                part = index[b[lo:hi]] * times[lo:hi, None].astype(np.float32)
-                out[a[cuts[at : at + 2048]]] += np.add.reduceat(part, cuts[at : at + 2048] - lo, axis=0)
+        for lo in range(0, len(bucket) - gap, WORDS):
+            hi = min(lo + WORDS, len(bucket) - gap)
+            ok = lo + np.flatnonzero(row[lo + gap : hi + gap] == row[lo:hi])
+            for x, y in ((ok, ok + gap), (ok + gap, ok)):
+                kinds, times = np.unique(bucket[x].astype(np.int64) * BUCKETS + bucket[y], return_counts=True)
+                _add(out, kinds // BUCKETS, kinds % BUCKETS, times, index)
     return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-6)
 
 
+def _add(out: np.ndarray, a: np.ndarray, b: np.ndarray, times: np.ndarray, index: np.ndarray) -> None:
+    """Adds times * index[b] to out[a]; a is sorted."""
+    cuts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.empty(0, np.int64)
+    for at in range(0, len(cuts), 2048):
+        lo, hi = cuts[at], cuts[at + 2048] if at + 2048 < len(cuts) else len(a)
+        part = index[b[lo:hi]] * times[lo:hi, None].astype(np.float32)
+        out[a[cuts[at : at + 2048]]] += np.add.reduceat(part, cuts[at : at + 2048] - lo, axis=0)
+
+
 def pool(bucket: np.ndarray, shape: np.ndarray, bounds: np.ndarray, context: np.ndarray, shapes: np.ndarray) -> np.ndarray:
     """Means over each row of its words' context vectors and its shapes' index vectors, with both lengths; zeros without words."""
     n = np.diff(bounds)
@@ -177,6 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int =
     if not len(y) or y.min() == y.max():
         return QualityModel(np.zeros((BUCKETS, DIM), np.float32), shapes, None, float(y.mean()) if len(y) else 0.5)
     parts = [tokens(pa.array([bytes(r["t"])], pa.binary())) for r in seen]
+    seen.clear()
     bucket, shape = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
     bounds = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
     context = context_vectors(bucket, bounds, index_vectors(BUCKETS, 7))
