@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe.llm.common import cut, table
-from hushframe.llm.set_links import classes, partition_signatures, whole_texts
+from hushframe.llm.set_links import classes, partition_signatures, sliced_signatures, whole_texts
+
+
+#: From this similarity on, candidates come from signatures that miss nothing; below, from MinHash bands that miss a
+#: pair at the threshold once in ten million times.
+EXACT_FROM = 90
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -14,11 +19,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     Two rows link when 100 * intersection >= percent * union of their sets of k-word shingles, A-Z read as a-z, words
     parted by ASCII white space; fewer than k words make one shingle. component_id is the smallest doc_id that links
-    lead to, one's own included. No link is lost, but for a clash of 64-bit hashes. Null and empty texts have no
+    lead to, one's own included. No link is lost from 90 percent on, but for a clash of 64-bit hashes; below,
+    see EXACT_FROM. Null and empty texts have no
     shingles and link with nothing; equal texts, repeated rows and ties of id each keep their row; a row whose doc_id
     is null has no component; an empty table gives none; other columns are not read.
     """
-    owned, linked = classes(docs, whole_texts, k, percent, partition_signatures(percent))
+    sign = partition_signatures(percent) if percent >= EXACT_FROM else sliced_signatures(percent)
+    owned, linked = classes(docs, whole_texts, k, percent, sign)
     full = owned.hint("merge").join(linked.withColumnRenamed("node", "item").hint("merge"), "item", "left")
     full = cut(full.select("id", "n", F.coalesce("root", "item").alias("root")))
     heads = cut(full.groupBy("root").agg(F.min("id").alias("component_id")))
