@@ -105,6 +105,17 @@ def test_signatures_lose_nothing(percent):
             assert set(sig[who == 0]) & set(sig[who == 1])
 
 
+def test_sliced_bands_find_pairs_at_the_threshold():
+    sign = set_links.sliced_signatures(80)
+    draw = np.random.default_rng(6)
+    for n in (9, 36, 99, 153, 171, 198, 252, 603):  # sets of n with n / 9 changed: a similarity of 0.8
+        for _ in range(12):
+            a = draw.integers(0, 2**63, n).astype(np.uint64)
+            b = np.concatenate([a[: n - n // 9], draw.integers(0, 2**63, n // 9).astype(np.uint64)])
+            who, sig = sign([np.unique(a), np.unique(b), np.empty(0, np.uint64)])
+            assert set(sig[who == 0]) & set(sig[who == 1]) and not (who == 2).any()
+
+
 def test_product_against_sets():
     draw = np.random.default_rng(5)
     pool = draw.integers(0, 2**63, 400).astype(np.uint64)
