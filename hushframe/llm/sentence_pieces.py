@@ -15,7 +15,7 @@ from hushframe.llm.common import slices, table
 
 MARK = "▁"
 #: Words that a worker remembers between slices, and pairs of pieces; beyond, it starts anew.
-WORDS, PAIRS = 200_000, 1_000_000
+WORDS, PAIRS = 100_000, 400_000
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _LOADED: dict[str, "Pieces"] = {}
 
@@ -96,7 +96,9 @@ class Pieces:
             for c in reversed(n):
                 node = node.setdefault(c, {})
             node[""] = i
-        self.pairs: dict[int, bool] = {}
+        #: For each last piece, -1 first, what is known of the pieces after it.
+        self.pairs: list[dict[int, bool] | None] = [None] * (len(names) + 1)
+        self.known_pairs = 0
         self.words: dict[str, list[int]] = {}
 
     def merge(self, word: str) -> list[str]:
@@ -114,20 +116,39 @@ class Pieces:
         return parts
 
     def _fits(self, before: int, piece: int) -> bool:
-        """Whether merging gives these two pieces for their characters; before is -1 at the word's start or after an unknown character."""
-        key = (before + 1) << 32 | piece
-        known = self.pairs.get(key)
-        if known is None:
-            left, right = [self.names[before]] if before >= 0 else [], self.names[piece]
-            known = self.merge("".join(left) + right) == [*left, right]
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            self.pairs[key] = known
-        return known
+        """Whether merging gives these two pieces for their characters; before is -1 at the word's start or after an unknown character.
+
+        As soon as a merge reaches across the border, the answer is no.
+        """
+        ids, score = self.ids, self.score
+        left = self.names[before] if before >= 0 else ""
+        parts = list(left + self.names[piece])
+        border = len(left)  # parts before it make up the first piece
+        ranks = [score[p] if (p := ids.get(x + y)) is not None else None for x, y in zip(parts, parts[1:])]
+        while True:
+            best, at = None, -1
+            for i, r in enumerate(ranks):
+                if r is not None and (best is None or r > best):
+                    best, at = r, i
+            if at < 0:
+                break
+            if at == border - 1:
+                return False
+            border -= at < border
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            for i in (at - 1, at):
+                if 0 <= i < len(ranks):
+                    p = ids.get(parts[i] + parts[i + 1])
+                    ranks[i] = None if p is None else score[p]
+        return len(parts) == 1 + (before >= 0)
 
     def encode_words(self, words: list[str]) -> dict[str, list[int]]:
         """Ids of distinct words: depth-first through the trie of their prefixes, which is their sorted order."""
-        ends, unigram, score, pairs, fits = self.ends, self.unigram, self.score, self.pairs, self._fits
+        ends, unigram, score, pairs = self.ends, self.unigram, self.score, self.pairs
+        if self.known_pairs > PAIRS:
+            pairs[:] = [None] * len(pairs)
+            self.known_pairs = 0
         last, start, best = [-1], [0], [0.0]  # of each prefix: last piece (-1: none or unknown), its begin, the score
         out, before = {}, ""
         for word in sorted(words):
@@ -158,8 +179,14 @@ class Pieces:
                             break
                         p = node.get("")
                         if p is not None:
-                            known = pairs.get((last[at] + 1) << 32 | p)
-                            if fits(last[at], p) if known is None else known:
+                            row = pairs[last[at] + 1]
+                            if row is None:
+                                row = pairs[last[at] + 1] = {}
+                            known = row.get(p)
+                            if known is None:
+                                known = row[p] = self._fits(last[at], p)
+                                self.known_pairs += 1
+                            if known:
                                 piece_at, piece = at, p
                                 break
                         at -= 1
@@ -196,9 +223,10 @@ class Pieces:
         flat = np.array([i for x in own for i in x], np.int32)
         begins = np.concatenate([[0], np.cumsum(sizes)])
         spot_a = np.array(spot, np.int64)
+        del spot, own
         n = sizes[spot_a]
         ends = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat(begins[spot_a] - ends[:-1], n) + np.arange(ends[-1])] if len(spot) else np.empty(0, np.int32)
+        ids = flat[np.repeat(begins[spot_a] - ends[:-1], n) + np.arange(ends[-1])] if len(spot_a) else np.empty(0, np.int32)
         return ids, ends[np.concatenate([[0], np.cumsum([len(us) for us in units])])]
 
     def decode(self, ids: list[int]) -> str:
@@ -214,9 +242,11 @@ def pieces(path: str) -> Pieces:
     return _LOADED[path]
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", back: bool = False) -> DataFrame:
     """(id, text, ids array<int>) of every row: the pieces that the sentencepiece library gives for the model.
 
+    back adds a column decoded, the text of the ids just made, without sending them to another worker.
+
     Spaces become marks and one mark goes before the text; words are a run of marks and what follows it. Within a
     slice of the input each distinct word is encoded once. Null and empty texts have no ids; characters that the
     model lacks become byte pieces, or the unknown piece; a text's own marks count as spaces, as in the library; a
@@ -229,11 +259,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for batch in slices(batches, "t"):
             ids, cuts = model.encode([x or "" for x in batch.column("t").to_pylist()])
             lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), lists], names=["id", "text", "ids"])
+            out = [batch.column("id"), batch.column("t"), lists]
+            if back:
+                out.append(pa.array([model.decode(ids[a:b].tolist()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())], pa.string()))
+            yield pa.RecordBatch.from_arrays(out, names=["id", "text", "ids", "decoded"][: len(out)])
 
     kind = dict(docs.dtypes)[id_col]
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    return plain.mapInArrow(run, f"id {kind}, text string, ids array<int>").withColumnsRenamed({"id": id_col, "text": text_col})
+    return plain.mapInArrow(run, f"id {kind}, text string, ids array<int>" + ", decoded string" * back).withColumnsRenamed({"id": id_col, "text": text_col})
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -252,7 +285,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
 def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded: the number of ids, a hash of them, and whether the text came back."""
     path = model_file()
-    both = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    both = encode(table(spark, sf_dir, "documents"), path, back=True)
     return both.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"),
         (F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), MARK, " ")).alias("round_trip"),

@@ -124,6 +124,8 @@ def test_pieces_are_the_librarys(spark):
     for i, t in enumerate(texts):
         assert got[i]["ids"] == library.encode(t or ""), repr(t)
         assert got[i]["decoded"] == library.decode(got[i]["ids"]) == (t or "").replace("▁", " ")
+    back = {r["doc_id"]: (r["ids"], r["decoded"]) for r in sentence_pieces.encode(documents(spark, texts), path, back=True).collect()}
+    assert back == {i: (r["ids"], r["decoded"]) for i, r in got.items()}
     assert sentence_pieces.encode(documents(spark, texts).limit(0), path).count() == 0
 
 
