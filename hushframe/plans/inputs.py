@@ -2,35 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushframe.operators.boxes import box
 from hushframe.taxonomy import group_of
 
 KINDS = ("email", "age", "country")
+#: Words to a line of the grid.
+ACROSS = 8
 
 
 def made_spans(docs: DataFrame) -> DataFrame:
-    """Five short spans in the first 40 characters of each text that is long enough; they overlap, touch and repeat."""
-    k = F.explode(F.array(*map(F.lit, range(5)))).alias("k")
-    rows = docs.where(F.length("text") >= 40).select("doc_id", F.col("text").alias("t"), k)
+    """Five short spans in every 40 characters of each text, the last ones cut at its end; they overlap, touch and repeat."""
+    rows = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,40}"), F.lit(0))).alias("at", "t"))
+    rows = rows.select("*", F.explode(F.array(*map(F.lit, range(5)))).alias("k"))
     start = ((F.col("doc_id") * 7 + F.col("k") * 5) % 30).cast("int")
     size = (1 + (F.col("doc_id") + F.col("k") * 3) % 8).cast("int")
     kind = F.element_at(F.array(*map(F.lit, KINDS)), ((F.col("doc_id") + F.col("k")) % 3 + 1).cast("int"))
     score = F.when((F.col("doc_id") + F.col("k")) % 5 != 0, ((F.col("doc_id") * F.col("k")) % 4 + 5).cast("double") / F.lit(10.0))
-    rows = rows.select("doc_id", F.col("k").alias("span_idx"), kind.alias("category"), start.alias("start"), (start + size).alias("end"), score.alias("score"), "t")
-    text = F.substring(F.col("t"), F.col("start") + 1, F.col("end") - F.col("start"))
-    return rows.select("doc_id", "span_idx", "category", "start", "end", group_of(F.col("category")).alias("l1"), text.alias("text"), "score")
-
-
-def made_tokens(docs: DataFrame, words: int = 60) -> DataFrame:
-    """Tokens for the first words of each text: labels by word length, in chunks of 20 that overlap by 5, with empty tokens between."""
-    parts = F.slice(F.split("text", " "), 1, words)
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", parts.alias("w"))
-    ends = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.aggregate(F.slice("w", 1, i), F.lit(0), lambda acc, x: acc + F.length(x) + 1) - 1)
-    rows = rows.select("doc_id", F.posexplode(F.arrays_zip("w", ends.alias("e"))).alias("tok", "x"))
-    rows = rows.select("doc_id", "tok", (F.col("x.e") - F.length("x.w")).alias("char_start"), F.col("x.e").alias("char_end"), F.length("x.w").alias("n"))
+    idx, first = (F.col("at") * 5 + F.col("k")).cast("int"), F.col("at") * 40
+    rows = rows.where(start < F.length("t")).select("doc_id", idx.alias("span_idx"), kind.alias("category"), first.alias("first"), F.substring(F.col("t"), start + 1, size).alias("text"), start.alias("start"), score.alias("score"))
+    start = F.col("first") + F.col("start")
+    return rows.select("doc_id", "span_idx", "category", start.alias("start"), (start + F.length("text")).alias("end"), group_of(F.col("category")).alias("l1"), "text", "score")
+
+
+def made_tokens(docs: DataFrame) -> DataFrame:
+    """Tokens for the words of each text: labels by word length, in chunks of 20 that overlap by 5, with empty tokens between."""
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split("text", " ")).alias("tok", "w"))
+    rows = rows.select("doc_id", "tok", F.length("w").alias("n"))
+    upto = Window.partitionBy("doc_id").orderBy("tok").rowsBetween(Window.unboundedPreceding, 0)
+    end = (F.sum(F.col("n") + 1).over(upto) - 1).cast("int")
+    rows = rows.select("doc_id", "tok", (end - F.col("n")).alias("char_start"), end.alias("char_end"), "n")
     chunk = F.explode(F.array_distinct(F.array(F.floor(F.col("tok") / 15).cast("int"), F.greatest(F.lit(0), F.floor((F.col("tok") - 5) / 15)).cast("int")))).alias("chunk_idx")
     rows = rows.select("*", chunk)
     label = (
@@ -40,29 +43,34 @@ def made_tokens(docs: DataFrame, words: int = 60) -> DataFrame:
     return rows.select("doc_id", "chunk_idx", F.col("tok").cast("int").alias("tok_idx"), "char_start", "char_end", label.alias("label"), score.alias("score"))
 
 
-def made_words(docs: DataFrame, words: int = 80, across: int = 8) -> DataFrame:
-    """(page_id, word_idx, word, box): the first words of each text on a grid of 8 to a line, 60 x 20 pixels a cell."""
-    rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("page_id"), F.posexplode(F.slice(F.split("text", r"[ \n]"), 1, words)).alias("word_idx", "word"))
+def page_height(text: str = "text") -> Column:
+    """Pixels that the lines of a text's grid take, 200 at least."""
+    return F.greatest(F.lit(200), F.ceil(F.size(F.split(text, r"[ \n]")) / ACROSS) * 20).cast("int")
+
+
+def made_words(docs: DataFrame) -> DataFrame:
+    """(page_id, word_idx, word, box, height): the words of each text on a grid of 8 to a line, 60 x 20 pixels a cell, and their page's height."""
+    rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("page_id"), page_height().alias("height"), F.posexplode(F.split("text", r"[ \n]")).alias("word_idx", "word"))
     rows = rows.where("word <> ''")
-    x0 = (F.col("word_idx") % across) * 60 + F.col("page_id") % 3
-    y0 = F.floor(F.col("word_idx") / across) * 20
+    x0 = (F.col("word_idx") % ACROSS) * 60 + F.col("page_id") % 3
+    y0 = F.floor(F.col("word_idx") / ACROSS) * 20
     wide, high = F.least(F.lit(58), F.length("word") * 7), 10 + F.length("word") % 5
-    return rows.select("page_id", "word_idx", "word", box(x0, y0, x0 + wide, y0 + high).alias("box"))
+    return rows.select("page_id", "word_idx", "word", box(x0, y0, x0 + wide, y0 + high).alias("box"), "height")
 
 
 def made_entities(docs: DataFrame) -> DataFrame:
-    """Text entities for the words whose length is 3, 5 or 7, and a logo and a signature on every other page."""
+    """Text entities for the words whose length is 3, 5 or 7, and a logo and a signature on every page."""
     words = made_words(docs)
     n = F.length("word")
     kind = F.when(n == 3, "other_person_name").when(n == 5, "city_district").when(n == 7, "phone_mobile")
     score = (n % 4).cast("double") / F.lit(4.0)
     text = words.withColumn("category", kind).where("category is not null").select("page_id", F.col("word_idx").alias("ent_idx"), "category", F.lit("text").alias("kind"), F.col("box").alias("bbox"), F.col("word").alias("text"), score.alias("score"))
-    seen = docs.where(F.col("doc_id") % 2 == 0).select(F.col("doc_id").alias("page_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("ent_idx"))
+    seen = docs.select(F.col("doc_id").alias("page_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("ent_idx"))
     area = F.when(F.col("ent_idx") == 0, box(F.lit(100), F.lit(30), F.lit(260), F.lit(90))).otherwise(box(F.lit(300), F.lit(0), F.lit(420), F.lit(45)))
     visual = seen.select("page_id", "ent_idx", F.when(F.col("ent_idx") == 0, "logo").otherwise("signature").alias("category"), F.lit("visual").alias("kind"), area.alias("bbox"), F.lit(None).cast("string").alias("text"), F.lit(0.5).alias("score"))
     return text.unionByName(visual).withColumn("l1", group_of(F.col("category")))
 
 
 def made_pages(docs: DataFrame) -> DataFrame:
-    """(page_id, record_id, page_no, width, height)."""
-    return docs.select(F.col("doc_id").alias("page_id"), F.col("source").alias("record_id"), F.col("doc_id").alias("page_no"), F.lit(480).alias("width"), F.lit(200).alias("height"))
+    """(page_id, record_id, page_no, width, height), high enough for the words of `made_words`."""
+    return docs.select(F.col("doc_id").alias("page_id"), F.col("source").alias("record_id"), F.col("doc_id").alias("page_no"), F.lit(480).alias("width"), F.coalesce(page_height(), F.lit(200)).alias("height"))

@@ -125,7 +125,7 @@ def mask_without_merge(spark, folder):
 @query
 def anonymize_text(spark, folder):
     d = docs(spark, folder)
-    return whole(pseudonyms.anonymize(d, inputs.made_spans(d).unionByName(rule_spans(d).withColumn("span_idx", F.col("span_idx") + 5))))
+    return whole(pseudonyms.anonymize(d, inputs.made_spans(d).unionByName(rule_spans(d).withColumn("span_idx", F.col("span_idx") + 2**30))))
 
 
 @query
@@ -276,7 +276,7 @@ def word_entities(spark, folder):
 @query
 def box_normalize(spark, folder):
     w = inputs.made_words(docs(spark, folder))
-    return flat_box(w.select("page_id", "word_idx", boxes.normalized(F.col("box"), F.lit(470), F.lit(190)).alias("box")), "box")
+    return flat_box(w.select("page_id", "word_idx", boxes.normalized(F.col("box"), F.lit(470), F.col("height") - 10).alias("box")), "box")
 
 
 @query
@@ -297,7 +297,7 @@ def ocr_adapter(spark, folder):
     w = inputs.made_words(docs(spark, folder))
     rows = w.select(
         "page_id", "word_idx", F.when(F.col("word_idx") % 9 != 4, F.col("word")).alias("text"), (F.col("box.x1") / 480.0).alias("left"), (F.col("box.x0") / 480.0).alias("right"),
-        (F.col("box.y0") / 200.0).alias("upper"), (F.col("box.y1") / 200.0).alias("lower"), F.lit(480).alias("width"), F.lit(200).alias("height"),
+        (F.col("box.y0") / F.col("height")).alias("upper"), (F.col("box.y1") / F.col("height")).alias("lower"), F.lit(480).alias("width"), "height",
     )
     return flat_box(adapted(rows), "box")
 
@@ -340,7 +340,8 @@ def em_sizes(spark, folder):
 @query
 def erasure_boxes(spark, folder):
     d = docs(spark, folder)
-    e = inputs.made_entities(d).select("page_id", "ent_idx", "kind", boxes.erasure_box(F.col("bbox"), F.lit(480), F.lit(200)).alias("area"))
+    e = inputs.made_entities(d).join(inputs.made_pages(d), "page_id")
+    e = e.select("page_id", "ent_idx", "kind", boxes.erasure_box(F.col("bbox"), F.col("width"), F.col("height")).alias("area"))
     return flat_box(e, "area")
 
 
