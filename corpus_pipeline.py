@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm import mixing, ngram_join, quality, sentence_pieces, substring_dedup
+from hushframe.llm import mixing, ngram_join, quality, sentence_pieces, shared_spans, substring_dedup
 from hushframe.llm.common import shared_folder, table
 
 
@@ -22,8 +22,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that repeat across documents go, but for their first place."""
-    return substring_dedup.without_passages(docs, substring_dedup.repeated_passages(docs))
+    """Passages that repeat across documents go, but for their first place: lines and their near copies, then runs of words anywhere."""
+    lines = substring_dedup.without_passages(docs, substring_dedup.repeated_passages(docs))
+    return shared_spans.without_spans(lines, shared_spans.shared_spans(lines))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,11 +7,12 @@ from hushframe.llm.mixing import op5_mixing_sources
 from hushframe.llm.ngram_join import op7_ngram_jaccard_join
 from hushframe.llm.quality import op2_quality_classifier
 from hushframe.llm.sentence_pieces import op1_sentence_pieces
+from hushframe.llm.shared_spans import op4_shared_spans
 from hushframe.llm.substring_dedup import LEAST_WORDS, op4_substring_dedup
 from hushframe.llm.token_counts import op8_token_counts
 from hushframe.llm.url_filters import op6_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_sentence_pieces, op2_quality_classifier, op3_media_columns, op4_substring_dedup, op5_mixing_sources, op6_url_filters, op7_ngram_jaccard_join, op8_token_counts, op9_html_extraction, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sentence_pieces, op2_quality_classifier, op3_media_columns, op4_substring_dedup, op4_shared_spans, op5_mixing_sources, op6_url_filters, op7_ngram_jaccard_join, op8_token_counts, op9_html_extraction, op10_embedding_near_dedup)}
 
 
 def _sets(source: str, k: int, least: int = 1) -> str:
