@@ -15,9 +15,9 @@ from hushframe.llm.common import slices, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title iframe object svg canvas audio video datalist noembed noframes dialog select".split())
+HIDDEN = frozenset("head script style template noscript title iframe object svg canvas audio video datalist noembed noframes select".split())
 BLOCK = frozenset(
-    "address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr html legend li main menu nav ol p pre section summary table ul tr caption tbody thead tfoot".split()
 )
 #: Blocks with an empty line before and after.
@@ -26,11 +26,12 @@ SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul men
 ENDS = {
     **{t: ("p",) for t in BLOCK - {"li", "dd", "dt", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"}},
     "li": ("li", "p"), "dd": ("dd", "dt", "p"), "dt": ("dd", "dt", "p"), "option": ("option",),
-    "tr": ("tr", "td", "th", "p", "caption"), "td": ("td", "th", "p", "caption"), "th": ("td", "th", "p", "caption"),
-    "tbody": ("thead", "tbody", "tfoot", "tr", "td", "th", "p", "caption"), "thead": ("caption",), "tfoot": ("thead", "tbody", "tr", "td", "th", "p", "caption"),
+    "tr": ("tr", "td", "th", "p", "caption", "colgroup"), "td": ("td", "th", "p", "caption", "colgroup"), "th": ("td", "th", "p", "caption", "colgroup"),
+    "tbody": ("thead", "tbody", "tfoot", "tr", "td", "th", "p", "caption", "colgroup"), "thead": ("caption", "colgroup"),
+    "tfoot": ("thead", "tbody", "tr", "td", "th", "p", "caption", "colgroup"), "colgroup": ("caption", "colgroup"),
     "body": ("head",),
 }
-BOUNDS = {"li": ("ul", "ol", "menu", "dir"), "dd": ("dl",), "dt": ("dl",)} | dict.fromkeys(("tr", "td", "th", "tbody", "thead", "tfoot"), ("table",))
+BOUNDS = {"li": ("ul", "ol", "menu", "dir"), "dd": ("dl",), "dt": ("dl",)} | dict.fromkeys(("tr", "td", "th", "tbody", "thead", "tfoot", "colgroup"), ("table",))
 SCOPE = frozenset("table td th caption button html body template object".split())
 #: Tables within cells, this many deep, are aligned; deeper ones are rendered as blocks.
 NESTED = 40
@@ -141,7 +142,7 @@ def _implied_ends(stack: list[Node], kinds: tuple[str, ...], bounds: tuple[str,
 
 
 def hidden(node: Node) -> bool:
-    if node.name in HIDDEN:
+    if node.name in HIDDEN or node.name == "dialog" and node.get("open") is None:
         return True
     low = node.attrs.lower() if node.attrs else ""
     if not low:
@@ -311,8 +312,7 @@ def table_lines(node: Node, depth: int = 1) -> list[str]:
                 inner_root = Node("#root")
                 inner_root.children = [c]
                 out += [s for s in render(inner_root, depth).split("\n") if s]
-        if x is node:
-            todo += reversed(inner)
+        todo += reversed(inner)
     widths: dict[int, int] = {}
     for cells in rows:
         at = 0
