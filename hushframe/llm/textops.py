@@ -76,7 +76,7 @@ def shingle_sets(hashes: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndar
     """
     n = len(hashes)
     run = np.zeros(max(0, n - k + 1), np.uint64)
-    for j in range(k):
+    for j in range(k if n >= k else 0):
         run += hashes[j : n - k + 1 + j] * TERM[j]
     run = mix(run)
     out = []
