@@ -160,7 +160,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, see
     )
     # the sources' number is bounded above, so their table is
     rows = sized.join(F.broadcast(dims), sized["source"].eqNullSafe(dims["source"])).drop(dims["source"])
-    rows = rows.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).withColumn("key", F.xxhash64("id", "source", "time"))
+    rows = rows.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).withColumn("key", F.xxhash64("id", "source", "size", "time"))
     rows = rows.select("id", "source", "size", "src", "source_size", "target", "whole", "part", "key")
     count = sized.agg(F.sum("times")).first()[0] or 0
     units = rows.where("part > 0 and size > 0").select("src", "key", "size", F.col("part").alias("p"))
