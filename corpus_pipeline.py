@@ -22,9 +22,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that repeat across documents go, but for their first place: lines and their near copies, then runs of words anywhere."""
-    lines = substring_dedup.without_passages(docs, substring_dedup.repeated_passages(docs))
-    return shared_spans.without_spans(lines, shared_spans.shared_spans(lines))
+    """Passages that repeat across documents go, but for their first place: lines and their near copies, and runs of words anywhere."""
+    return shared_spans.without_spans(docs, substring_dedup.removals(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

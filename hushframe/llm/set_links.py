@@ -8,7 +8,8 @@ its content, so that copies cost nothing past the first pass. The steps:
    input, then sorted by range in numpy. Items that share a signature are joined to groups (connected components).
 3. `verified`: the items of each group meet in blocks: the incidence matrices of two blocks of rows are multiplied,
    a block of columns at a time, and pairs are dropped as soon as their sizes and the columns to come rule them out.
-   A group of n items makes (n / BLOCK)**2 / 2 tasks of bounded size; a task returns at most a spanning forest.
+   A group of n short items makes (n / BLOCK)**2 / 2 tasks of bounded size, and more if they are long; a task returns
+   at most a spanning forest.
 4. `classes`: components of the links.
 """
 
@@ -19,14 +20,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.llm import textops
 from hushframe.llm.common import connected_components, cut, forest, partitions, slices
 
-#: Rows of a block of items, and n-gram columns that are multiplied at once.
-BLOCK, COLUMNS = 64, 4096
+#: Rows and shingles of a block of items, about, and n-gram columns that are multiplied at once.
+BLOCK, WEIGHT, COLUMNS = 512, 1 << 16, 4096
 #: Signatures that are packed at once.
 PACKED = 1 << 20
 U = np.uint64
@@ -54,32 +55,44 @@ def paragraphs(buf: np.ndarray, starts: np.ndarray):
 
 
 def _sets(batch: pa.RecordBatch, units: Units, k: int, least: int):
-    """(shingle sets, rows, numbers, words) of a slice's units with `least` words or more (at least one)."""
+    """(shingle sets, rows, numbers, first words in the row, words) of a slice's units with `least` words or more (at least one)."""
     buf, starts = textops.payload(batch.column("t"))
     begin, end, bounds, row, number = units(buf, starts)
     hashes = textops.word_hashes(buf, begin, end)
     sets = textops.shingle_sets(hashes, bounds, k)
     n_words = np.diff(bounds)
     keep = np.flatnonzero(n_words >= max(1, least))
-    return [sets[i] for i in keep], row[keep], number[keep], n_words[keep]
+    first = bounds[keep] - np.searchsorted(begin, starts)[row[keep]]
+    return [sets[i] for i in keep], row[keep], number[keep], first, n_words[keep]
+
+
+def text_key(text: Column) -> Column:
+    """What tells rows of one doc_id apart: a hash of the text, null counting as empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("t"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("bigint").alias("id"), text_key(F.col("text")).alias("row"), text.cast("binary").alias("t"))
 
 
 def members(docs: DataFrame, units: Units, k: int, least: int = 1) -> DataFrame:
-    """(id, number, item, n): every unit of docs (doc_id, text) with its item and the size of its set."""
+    """(id, row, number, first, words, item, n): every unit of docs (doc_id, text) with its place, its item and the size of its set.
+
+    row is the text's key, first the unit's first word in its text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
-            sets, row, number, _ = _sets(batch, units, k, least)
+            sets, row, number, first, words = _sets(batch, units, k, least)
+            ids, keys = (batch.column(c).take(pa.array(row)) for c in ("id", "row"))
+            small = [pa.array(x, pa.int32()) for x in (number, first, words)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(row)), pa.array(number, pa.int32()), pa.array(textops.set_id(sets).view(np.int64)), pa.array([len(s) for s in sets], pa.int64())],
-                names=["id", "number", "item", "n"],
+                [ids, keys, *small, pa.array(textops.set_id(sets).view(np.int64)), pa.array([len(s) for s in sets], pa.int64())],
+                names=["id", "row", "number", "first", "words", "item", "n"],
             )
 
-    return _texts(docs).mapInArrow(run, "id bigint, number int, item bigint, n bigint")
+    return _texts(docs).mapInArrow(run, "id bigint, row bigint, number int, first int, words int, item bigint, n bigint")
 
 
 def partition_signatures(percent: int) -> Callable[[list[np.ndarray]], tuple[np.ndarray, np.ndarray]]:
@@ -301,18 +314,13 @@ def verified(docs: DataFrame, units: Units, k: int, percent: int, found: DataFra
     owned: `members` of docs. One unit stands for each item; its text comes along, and its set is made in the task
     that multiplies it.
     """
-    spark = docs.sparkSession
-    found = cut(found)
-    stands = cut(owned.where("id is not null").groupBy("item").agg(F.min(F.struct("id", "number")).alias("at")))
-    size = cut(found.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    items = (
-        found.hint("merge").join(size.hint("merge"), "root")
-        .select("root", F.col("node").alias("item"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    )
-    placed = stands.join(cut(items), "item")
+    stands = owned.where("id is not null").groupBy("item").agg(F.min(F.struct("id", "row", "number")).alias("at"), F.max("n").alias("n"))
+    placed = cut(found.withColumnRenamed("node", "item").hint("merge").join(stands.hint("merge"), "item"))
+    size = cut(placed.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / WEIGHT)).cast("int").alias("blocks")))
+    items = placed.hint("merge").join(size.hint("merge"), "root").withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
     # of one text: as many entries as it has units
-    by_text = placed.groupBy(F.col("at.id").alias("id")).agg(F.collect_list(F.struct("at.number", "item", "root", "block", "blocks")).alias("want"))
-    with_text = _texts(docs).join(cut(by_text).hint("shuffle_hash"), "id")
+    by_text = items.groupBy(F.col("at.id").alias("id"), F.col("at.row").alias("row")).agg(F.collect_list(F.struct("at.number", "item", "root", "block", "blocks")).alias("want"))
+    with_text = _texts(docs).join(cut(by_text).hint("shuffle_hash"), ["id", "row"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
@@ -324,7 +332,7 @@ def verified(docs: DataFrame, units: Units, k: int, percent: int, found: DataFra
                 for w in want:
                     u = where.get((r, w["number"]))
                     if u is None or bounds[u] == bounds[u + 1]:
-                        continue  # another row of the same id
+                        continue
                     lo, hi = bounds[u], bounds[u + 1]
                     piece = buf[begin[lo] : end[hi - 1]].tobytes()
                     for o, v in zip(out, (w["root"], w["item"], w["block"], w["blocks"], piece)):
