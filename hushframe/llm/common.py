@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into arrays at once.
 SLICE_BYTES = 2 << 20
+#: Links to a task where components are sought, about.
+LINKS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,18 +105,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == was or not now[0]:
             break
-        was = now
+        was, n = now, -(-now[0] // LINKS)
+        # as many files as the links need: rounds are many, and each would leave a few for every partition
         both = e.union(e.select("v", "u"))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")).coalesce(n))
         large = (
             both.where("v > u").hint("merge").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
-        large = cut(large)
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = cut(large.coalesce(n))
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(n))
         e = cut(
             large.hint("merge").join(least.hint("merge"), "u")
             .where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(least).distinct()
+            .union(least).distinct().coalesce(n)
         )
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         e.select("v", F.col("v")).distinct()
