@@ -50,8 +50,9 @@ def page_height(text: str = "text") -> Column:
 
 def made_words(docs: DataFrame) -> DataFrame:
     """(page_id, word_idx, word, box, height): the words of each text on a grid of 8 to a line, 60 x 20 pixels a cell, and their page's height."""
-    rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("page_id"), page_height().alias("height"), F.posexplode(F.split("text", r"[ \n]")).alias("word_idx", "word"))
-    rows = rows.where("word <> ''")
+    # the height first: beside the generator it would be worked out for each word
+    rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("page_id"), "text", page_height().alias("height"))
+    rows = rows.select("page_id", "height", F.posexplode(F.split("text", r"[ \n]")).alias("word_idx", "word")).where("word <> ''")
     x0 = (F.col("word_idx") % ACROSS) * 60 + F.col("page_id") % 3
     y0 = F.floor(F.col("word_idx") / ACROSS) * 20
     wide, high = F.least(F.lit(58), F.length("word") * 7), 10 + F.length("word") % 5

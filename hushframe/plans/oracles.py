@@ -5,16 +5,64 @@ from __future__ import annotations
 from hushframe.plans.inputs import KINDS
 from hushframe.plans.queries import SALT
 from hushframe.sources.rules import RULES
-from hushframe.taxonomy import GROUPS, LABELS, VISUAL_CATEGORIES, VISUAL_GROUP, plain_label
 
 
-def _values(rows) -> str:
-    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
-
-
-_TAXONOMY = [(i, c, GROUPS[c], LABELS[c], "text") for i, c in enumerate(GROUPS)]
-_TAXONOMY += [(len(GROUPS) + i, c, VISUAL_GROUP, plain_label(c), "visual") for i, c in enumerate(VISUAL_CATEGORIES)]
-TAX = f"tax(ord, category, l1, label, kind) AS (VALUES {_values(_TAXONOMY)})"
+# Fixed values, written out here too, so that the SQL doesn't rest on the tables that it tests.
+TAX = """tax(ord, category, l1, label, kind) AS (VALUES
+(0, 'primary_subject_name', 'person', 'Person', 'text'),
+(1, 'other_person_name', 'person', 'Person', 'text'),
+(2, 'gender', 'person', 'Gender', 'text'),
+(3, 'age', 'person', 'Age', 'text'),
+(4, 'religion_ethnicity_cast', 'person', 'Community', 'text'),
+(5, 'sexual_orientation', 'person', 'Orientation', 'text'),
+(6, 'blood_type', 'person', 'BloodType', 'text'),
+(7, 'occupation_designation_education_level', 'person', 'Occupation', 'text'),
+(8, 'country', 'location', 'Country', 'text'),
+(9, 'state_province', 'location', 'State', 'text'),
+(10, 'city_district', 'location', 'City', 'text'),
+(11, 'postal_zip_pin_code', 'location', 'Postcode', 'text'),
+(12, 'street_address', 'location', 'Address', 'text'),
+(13, 'geocode_coordinates', 'location', 'Geocode', 'text'),
+(14, 'date_of_birth', 'date_time', 'Date', 'text'),
+(15, 'death_date', 'date_time', 'Date', 'text'),
+(16, 'other_date_time', 'date_time', 'Date', 'text'),
+(17, 'phone_mobile', 'contact', 'Phone', 'text'),
+(18, 'fax', 'contact', 'Fax', 'text'),
+(19, 'email', 'contact', 'Email', 'text'),
+(20, 'web_url', 'contact', 'URL', 'text'),
+(21, 'ssn', 'uid', 'SSN', 'text'),
+(22, 'aadhaar_12_digit', 'uid', 'Aadhaar', 'text'),
+(23, 'pan', 'uid', 'PAN', 'text'),
+(24, 'voter_id', 'uid', 'VoterID', 'text'),
+(25, 'passport_no', 'uid', 'Passport', 'text'),
+(26, 'driving_licence_no', 'uid', 'DrivingLicence', 'text'),
+(27, 'national_id', 'uid', 'NationalID', 'text'),
+(28, 'tax_id', 'uid', 'TaxID', 'text'),
+(29, 'mrn_uhid', 'uid', 'MRN', 'text'),
+(30, 'health_plan_beneficiary_no', 'uid', 'HealthPlanID', 'text'),
+(31, 'abha_number_14_digit', 'uid', 'ABHA', 'text'),
+(32, 'abha_address', 'uid', 'ABHAAddress', 'text'),
+(33, 'pmjay_ayushman_id', 'uid', 'AyushmanID', 'text'),
+(34, 'practitioner_reg_no_npi_nmc', 'uid', 'PractitionerReg', 'text'),
+(35, 'bank_account_number', 'uid', 'BankAccount', 'text'),
+(36, 'iban', 'uid', 'IBAN', 'text'),
+(37, 'upi_id', 'uid', 'UPI', 'text'),
+(38, 'insurance_tpa_policy_no', 'uid', 'PolicyNo', 'text'),
+(39, 'other_id', 'uid', 'ID', 'text'),
+(40, 'vehicle_id_licence_plate', 'uid', 'VehicleID', 'text'),
+(41, 'ip_address', 'device_net', 'IPAddress', 'text'),
+(42, 'device_serial_identifier', 'device_net', 'DeviceID', 'text'),
+(43, 'mac_address', 'device_net', 'MACAddress', 'text'),
+(44, 'password', 'credential', 'Password', 'text'),
+(45, 'api_key_token', 'credential', 'APIKey', 'text'),
+(46, 'high_entropy_secret', 'credential', 'Secret', 'text'),
+(47, 'brandname', 'entity', 'Brand', 'text'),
+(48, 'face_photo', 'biometric_visual', 'FacePhoto', 'visual'),
+(49, 'signature', 'biometric_visual', 'Signature', 'visual'),
+(50, 'seal_stamp', 'biometric_visual', 'SealStamp', 'visual'),
+(51, 'fingerprint_thumb_impression', 'biometric_visual', 'FingerprintThumbImpression', 'visual'),
+(52, 'qr_barcode', 'biometric_visual', 'QrBarcode', 'visual'),
+(53, 'logo', 'biometric_visual', 'Logo', 'visual'))"""
 
 
 def with_(*parts: str) -> str:
@@ -32,11 +80,10 @@ ends AS (SELECT d, c, sc, hits[k] t, (list_sum(list_transform(gaps[1:k], lambda
 sp AS (SELECT d, (row_number() OVER (PARTITION BY d ORDER BY e - length(t), e, c) - 1)::INT i, c, (e - length(t))::INT s, e, t, sc FROM ends)"""
 
 
-MADE = f"""sp AS (SELECT d, k::INT i, c, s, e, substr(t, s + 1, e - s) t, sc FROM (
-SELECT doc_id d, k, ([{", ".join(repr(k) for k in KINDS)}])[((doc_id + k) % 3 + 1)::INT] c, ((doc_id * 7 + k * 5) % 30)::INT s,
-((doc_id * 7 + k * 5) % 30 + 1 + (doc_id + k * 3) % 8)::INT e, text t,
-CASE WHEN (doc_id + k) % 5 <> 0 THEN ((doc_id * k) % 4 + 5)::DOUBLE / 10.0::DOUBLE END sc
-FROM documents, range(5) r(k) WHERE length(text) >= 40))"""
+MADE = f"""ck AS (SELECT doc_id d, ck, substr(text, ck * 40 + 1, 40) t FROM (SELECT doc_id, text, unnest(range((length(text) + 39) // 40)) ck FROM documents)),
+sp AS (SELECT d, (ck * 5 + k)::INT i, c, (ck * 40 + s)::INT s, (ck * 40 + s + length(substr(t, s + 1, n)))::INT e, substr(t, s + 1, n) t, sc FROM (
+SELECT d, k, ck, ([{", ".join(repr(k) for k in KINDS)}])[((d + k) % 3 + 1)::INT] c, ((d * 7 + k * 5) % 30)::INT s, (1 + (d + k * 3) % 8)::INT n, t,
+CASE WHEN (d + k) % 5 <> 0 THEN ((d * k) % 4 + 5)::DOUBLE / 10.0::DOUBLE END sc FROM ck, range(5) r(k)) WHERE s < length(t))"""
 
 UNION = """a AS (SELECT *, max(e) OVER (PARTITION BY d ORDER BY s, e DESC, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) pe FROM sp),
 b AS (SELECT *, sum(CASE WHEN pe IS NULL OR s >= pe THEN 1 ELSE 0 END) OVER (PARTITION BY d ORDER BY s, e DESC, i ROWS UNBOUNDED PRECEDING) g FROM a),
@@ -90,9 +137,9 @@ MAPPING = "SELECT rec record_id, label, norm norm_key, name pseudonym, orig orig
 NAMES = "o AS (SELECT c_mktsegment rec, c_custkey page, c_custkey d, 0 s, 'Person' label, c_name orig, lower(c_name) norm FROM customer)"
 RULED = (TAX, rule_spans(), MERGE)
 
-TOKENS = """w AS (SELECT doc_id, string_split(text, ' ')[1:60] w FROM documents WHERE text IS NOT NULL),
-x AS (SELECT doc_id, w, unnest(range(0, len(w))) tok FROM w),
-y AS (SELECT doc_id, tok, length(w[tok + 1]) n, (list_sum(list_transform(w[1:tok + 1], lambda v: length(v) + 1)) - 1)::INT b FROM x),
+TOKENS = """w AS (SELECT doc_id, string_split(text, ' ') w FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, unnest(w) v, unnest(range(len(w))) tok FROM w),
+y AS (SELECT doc_id, tok, length(v) n, (sum(length(v) + 1) OVER (PARTITION BY doc_id ORDER BY tok) - 1)::INT b FROM x),
 z AS (SELECT DISTINCT * FROM (SELECT *, (tok // 15)::INT ch FROM y UNION ALL SELECT *, greatest(0, CASE WHEN tok < 5 THEN 0 ELSE (tok - 5) // 15 END)::INT FROM y)),
 tk AS (SELECT doc_id, ch chunk_idx, tok::INT tok_idx, (b - n)::INT char_start, b char_end,
 CASE WHEN (n + ch) % 4 = 0 THEN 'O' WHEN n % 7 = 1 THEN 'B-AGE' WHEN n % 3 = 0 THEN 'I-AGE' WHEN n % 3 = 1 THEN 'B-EMAIL' ELSE 'I-EMAIL' END label,
@@ -108,9 +155,10 @@ g6 AS (SELECT *, a + length(regexp_extract(raw, '^\\s*')) s, b - length(regexp_e
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s, e) - 1)::INT span_idx, cat category, s::INT "start", e::INT "end", l1,
 substr(raw, s - a + 1, e - s) text, sc score FROM g6 JOIN tax ON category = cat WHERE e > s"""
 
-WORDS = """wd AS (SELECT doc_id page_id, string_split_regex(text, '[ \\n]')[1:80] w FROM documents WHERE text IS NOT NULL),
-we AS (SELECT page_id, w[k + 1] word, k::INT word_idx FROM (SELECT page_id, w, unnest(range(0, len(w))) k FROM wd)),
-wo AS (SELECT page_id, word_idx, word, ((word_idx % 8) * 60 + page_id % 3)::INT x0, ((word_idx // 8) * 20)::INT y0,
+WORDS = """wd AS (SELECT doc_id page_id, string_split_regex(text, '[ \\n]') w FROM documents WHERE text IS NOT NULL),
+we AS (SELECT page_id, greatest(200, (len(w) + 7) // 8 * 20)::INT height, unnest(w) word, unnest(range(len(w)))::INT word_idx FROM wd),
+ph AS (SELECT doc_id page_id, coalesce(greatest(200, (len(w) + 7) // 8 * 20), 200)::INT height FROM documents LEFT JOIN wd ON page_id = doc_id),
+wo AS (SELECT page_id, height, word_idx, word, ((word_idx % 8) * 60 + page_id % 3)::INT x0, ((word_idx // 8) * 20)::INT y0,
 ((word_idx % 8) * 60 + page_id % 3 + least(58, length(word) * 7))::INT x1, ((word_idx // 8) * 20 + 10 + length(word) % 5)::INT y1 FROM we WHERE word <> '')"""
 ENTITIES = (
     WORDS
@@ -118,9 +166,9 @@ ENTITIES = (
 te AS (SELECT page_id, word_idx ent_idx, CASE length(word) WHEN 3 THEN 'other_person_name' WHEN 5 THEN 'city_district' ELSE 'phone_mobile' END category, 'text' kind,
 x0, y0, x1, y1, word text, (length(word) % 4)::DOUBLE / 4.0::DOUBLE score FROM wo WHERE length(word) IN (3, 5, 7)),
 vi(ent_idx, category, x0, y0, x1, y1) AS (VALUES (0, 'logo', 100, 30, 260, 90), (1, 'signature', 300, 0, 420, 45)),
-en AS (SELECT * FROM te UNION ALL SELECT doc_id, ent_idx, category, 'visual', x0, y0, x1, y1, NULL, 0.5::DOUBLE FROM documents, vi WHERE doc_id % 2 = 0)"""
+en AS (SELECT * FROM te UNION ALL SELECT doc_id, ent_idx, category, 'visual', x0, y0, x1, y1, NULL, 0.5::DOUBLE FROM documents, vi)"""
 )
-PAD = "SELECT * FROM (SELECT page_id, ent_idx, kind, greatest(0, x0 - p)::INT x0, greatest(0, y0 - p)::INT y0, least(480, x1 + p)::INT x1, least(200, y1 + p)::INT y1 FROM"
+PAD = "SELECT * FROM (SELECT page_id, ent_idx, kind, greatest(0, x0 - p)::INT x0, greatest(0, y0 - p)::INT y0, least(480, x1 + p)::INT x1, least(height, y1 + p)::INT y1 FROM ph JOIN"
 
 
 def runs(gap: float) -> str:
@@ -156,7 +204,7 @@ _REPLACED = {
 }
 _BOTH = (
     TAX, rule_spans().replace("sp AS (", "sr AS ("), MADE.replace("sp AS (", "sm AS ("),
-    "sp AS (SELECT d, i, c, s, e, t, sc FROM sm UNION ALL SELECT d, i + 5, c, s, e, t, sc FROM sr)", MERGE,
+    "sp AS (SELECT d, i, c, s, e, t, sc FROM sm UNION ALL SELECT d, i + 1073741824, c, s, e, t, sc FROM sr)", MERGE,
 )
 _COUNTER_TEXT = with_(*RULED, occurrences("source"), NUMBER) + rebuilt(
     "m", "name", f"JOIN documents dd ON dd.doc_id = v.d JOIN q ON q.rec = dd.source AND q.label = tax.label AND q.norm = {normal('v')}"
@@ -164,12 +212,13 @@ _COUNTER_TEXT = with_(*RULED, occurrences("source"), NUMBER) + rebuilt(
 _CONTINUED = """f AS (SELECT rec, label, norm, first(orig ORDER BY (page >= 400), page, s) orig, bool_or(page < 400) early, min(page * 1000000000 + s) pos FROM o GROUP BY rec, label, norm),
 q AS (SELECT *, label || '_' || row_number() OVER (PARTITION BY rec, label ORDER BY NOT early, pos, norm) name FROM f)"""
 
-# which spans stay: the first, and then always the next that begins at or after the end of the last one kept
+# which spans stay: the first, and then always the next that begins at or after the end of the last one kept; the five
+# spans made in 40 characters end within them, so that this begins anew with each 40
 _HIGHLIGHT = f"""WITH RECURSIVE {TAX}, {MADE},
-o AS (SELECT d, s, e, c, sc, row_number() OVER (PARTITION BY d ORDER BY s, e DESC, i) n FROM sp),
-w(d, n, kept, z) AS (SELECT d, n, true, e FROM o WHERE n = 1
-UNION ALL SELECT o.d, o.n, o.s >= w.z, CASE WHEN o.s >= w.z THEN o.e ELSE w.z END FROM w JOIN o ON o.d = w.d AND o.n = w.n + 1),
-m AS (SELECT o.* FROM o JOIN w USING (d, n) WHERE kept),
+o AS (SELECT d, s // 40 f, s, e, c, sc, row_number() OVER (PARTITION BY d, s // 40 ORDER BY s, e DESC, i) n FROM sp),
+w(d, f, n, kept, z) AS (SELECT d, f, n, true, e FROM o WHERE n = 1
+UNION ALL SELECT o.d, o.f, o.n, o.s >= w.z, CASE WHEN o.s >= w.z THEN o.e ELSE w.z END FROM w JOIN o ON o.d = w.d AND o.f = w.f AND o.n = w.n + 1),
+m AS (SELECT o.* FROM o JOIN w USING (d, f, n) WHERE kept),
 r AS (SELECT m.*, text, l1, lag(e, 1, 0) OVER (PARTITION BY d ORDER BY s) z FROM m JOIN documents ON doc_id = d JOIN tax ON category = c)
 SELECT d doc_id, string_agg({esc("substr(text, z + 1, s - z)")} || '<mark class="' || l1 || '" title="' || c ||
 CASE WHEN sc IS NULL THEN '' ELSE ' · ' || printf('%.3f', sc) END || '">' || {esc("substr(text, s + 1, e - s)")} || '</mark>', '' ORDER BY s)
@@ -209,7 +258,7 @@ SQL: dict[str, str] = {
     "relink": with_(*RULED, occurrences("source"), NUMBER) + "SELECT rec record_id, name pseudonym, orig original FROM q",
     "token_chunks": with_(TOKENS)
     + """, ti AS (SELECT DISTINCT doc_id, tok_idx FROM tk), ct AS (SELECT *, max(tok_idx) OVER (PARTITION BY doc_id) + 1 n FROM ti)
-SELECT doc_id, tok_idx, c::INT chunk_idx FROM ct, range(0, 10) r(c) WHERE tok_idx >= c * 15 AND tok_idx < c * 15 + 20 AND (c = 0 OR (c - 1) * 15 + 20 < n)""",
+SELECT doc_id, tok_idx, c::INT chunk_idx FROM (SELECT *, tok_idx // 15 - k c FROM ct, range(2) r(k)) WHERE c >= 0 AND tok_idx < c * 15 + 20 AND (c = 0 OR (c - 1) * 15 + 20 < n)""",
     "token_argmax": """SELECT p_partkey, CASE WHEN a >= b AND a >= c THEN 'O' WHEN b >= c THEN 'B-AGE' ELSE 'I-AGE' END label,
 round(1 / (exp(a - greatest(a, b, c)) + exp(b - greatest(a, b, c)) + exp(c - greatest(a, b, c))), 6) score
 FROM (SELECT p_partkey, ((p_size * 3) % 11)::DOUBLE a, ((p_size * 5) % 11)::DOUBLE b, ((p_size * 7) % 11)::DOUBLE c FROM part)""",
@@ -221,7 +270,7 @@ FROM (SELECT p_partkey, ((p_size * 3) % 11)::DOUBLE a, ((p_size * 5) % 11)::DOUB
 FROM wl JOIN wo USING (page_id, word_idx, word) JOIN tax ON tax.category = substr(wl.label, 3) WHERE wl.label <> 'O'""",
     "box_normalize": with_(WORDS)
     + "SELECT page_id, word_idx, "
-    + ", ".join(f"least(1000, greatest(0, round_even({c}::DOUBLE / {d} * 1000, 0)))::INT {c}" for c, d in (("x0", 470), ("y0", 190), ("x1", 470), ("y1", 190)))
+    + ", ".join(f"least(1000, greatest(0, round_even({c}::DOUBLE / {d} * 1000, 0)))::INT {c}" for c, d in (("x0", 470), ("y0", "(height - 10)"), ("x1", 470), ("y1", "(height - 10)")))
     + " FROM wo",
     "box_pixels": with_(WORDS)
     + "SELECT page_id, word_idx, "
@@ -231,11 +280,10 @@ FROM wl JOIN wo USING (page_id, word_idx, word) JOIN tax ON tax.category = subst
     + """SELECT page_id, word_idx, CASE WHEN word_idx % 11 = 3 THEN 'must have 4 coordinates' ELSE 'is inverted' END reason
 FROM wo WHERE word_idx % 11 = 3 OR (word_idx % 13 = 5 AND x1 > x0)""",
     "ocr_adapter": with_(WORDS) + "SELECT page_id, word_idx, word, x0, y0, x1, y1 FROM wo WHERE word_idx % 9 <> 4",
-    "redact_boxes": with_(ENTITIES) + PAD + " (SELECT *, 2 p FROM en)) WHERE x1 > x0 AND y1 > y0",
-    "erasure_boxes": with_(ENTITIES) + PAD + " (SELECT *, greatest(2, floor(0.2 * (y1 - y0)))::INT p FROM en))",
+    "redact_boxes": with_(ENTITIES) + PAD + " (SELECT *, 2 p FROM en) USING (page_id)) WHERE x1 > x0 AND y1 > y0",
+    "erasure_boxes": with_(ENTITIES) + PAD + " (SELECT *, greatest(2, floor(0.2 * (y1 - y0)))::INT p FROM en) USING (page_id))",
     "words_outside_visuals": with_(ENTITIES)
-    + """SELECT page_id, ent_idx, category FROM te t WHERE NOT EXISTS (SELECT 1 FROM vi v WHERE t.page_id % 2 = 0
-AND greatest(0, least(t.x1, v.x1) - greatest(t.x0, v.x0)) * greatest(0, least(t.y1, v.y1) - greatest(t.y0, v.y0))::DOUBLE / ((t.x1 - t.x0) * (t.y1 - t.y0)) >= 0.7)""",
+    + """SELECT page_id, ent_idx, category FROM te t WHERE NOT EXISTS (SELECT 1 FROM vi v WHERE greatest(0, least(t.x1, v.x1) - greatest(t.x0, v.x0)) * greatest(0, least(t.y1, v.y1) - greatest(t.y0, v.y0))::DOUBLE / ((t.x1 - t.x0) * (t.y1 - t.y0)) >= 0.7)""",
     "line_runs": with_(ENTITIES, runs(4.0)) + "SELECT page_id, line_idx, category, text, first_word, n, x0, y0, x1, y1 FROM ru",
     "type_height": with_(ENTITIES, runs(1000.0)) + "SELECT page_id, line_idx, category, first_word, type_height FROM ty",
     "em_sizes": with_(ENTITIES, runs(1000.0))

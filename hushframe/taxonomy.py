@@ -7,39 +7,71 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Group, then category=label in order.
-_TEXT = """
-person: primary_subject_name=Person other_person_name=Person gender=Gender age=Age religion_ethnicity_cast=Community
-  sexual_orientation=Orientation blood_type=BloodType occupation_designation_education_level=Occupation
-location: country=Country state_province=State city_district=City postal_zip_pin_code=Postcode street_address=Address geocode_coordinates=Geocode
-date_time: date_of_birth=Date death_date=Date other_date_time=Date
-contact: phone_mobile=Phone fax=Fax email=Email web_url=URL
-uid: ssn=SSN aadhaar_12_digit=Aadhaar pan=PAN voter_id=VoterID passport_no=Passport driving_licence_no=DrivingLicence national_id=NationalID
-  tax_id=TaxID mrn_uhid=MRN health_plan_beneficiary_no=HealthPlanID abha_number_14_digit=ABHA abha_address=ABHAAddress
-  pmjay_ayushman_id=AyushmanID practitioner_reg_no_npi_nmc=PractitionerReg bank_account_number=BankAccount iban=IBAN upi_id=UPI
-  insurance_tpa_policy_no=PolicyNo other_id=ID vehicle_id_licence_plate=VehicleID
-device_net: ip_address=IPAddress device_serial_identifier=DeviceID mac_address=MACAddress
-credential: password=Password api_key_token=APIKey high_entropy_secret=Secret
-entity: brandname=Brand
-"""
-# Image regions and the text that marks one.
-_VISUAL = "face_photo=[FACE] signature=[SIGNATURE] seal_stamp=[STAMP] fingerprint_thumb_impression=[FINGERPRINT] qr_barcode=[QR] logo=[LOGO]"
+# Group, category and label of what texts hold.
+_TEXT = (
+    ("person", "primary_subject_name", "Person"),
+    ("person", "other_person_name", "Person"),
+    ("person", "gender", "Gender"),
+    ("person", "age", "Age"),
+    ("person", "religion_ethnicity_cast", "Community"),
+    ("person", "sexual_orientation", "Orientation"),
+    ("person", "blood_type", "BloodType"),
+    ("person", "occupation_designation_education_level", "Occupation"),
+    ("location", "country", "Country"),
+    ("location", "state_province", "State"),
+    ("location", "city_district", "City"),
+    ("location", "postal_zip_pin_code", "Postcode"),
+    ("location", "street_address", "Address"),
+    ("location", "geocode_coordinates", "Geocode"),
+    ("date_time", "date_of_birth", "Date"),
+    ("date_time", "death_date", "Date"),
+    ("date_time", "other_date_time", "Date"),
+    ("contact", "phone_mobile", "Phone"),
+    ("contact", "fax", "Fax"),
+    ("contact", "email", "Email"),
+    ("contact", "web_url", "URL"),
+    ("uid", "ssn", "SSN"),
+    ("uid", "aadhaar_12_digit", "Aadhaar"),
+    ("uid", "pan", "PAN"),
+    ("uid", "voter_id", "VoterID"),
+    ("uid", "passport_no", "Passport"),
+    ("uid", "driving_licence_no", "DrivingLicence"),
+    ("uid", "national_id", "NationalID"),
+    ("uid", "tax_id", "TaxID"),
+    ("uid", "mrn_uhid", "MRN"),
+    ("uid", "health_plan_beneficiary_no", "HealthPlanID"),
+    ("uid", "abha_number_14_digit", "ABHA"),
+    ("uid", "abha_address", "ABHAAddress"),
+    ("uid", "pmjay_ayushman_id", "AyushmanID"),
+    ("uid", "practitioner_reg_no_npi_nmc", "PractitionerReg"),
+    ("uid", "bank_account_number", "BankAccount"),
+    ("uid", "iban", "IBAN"),
+    ("uid", "upi_id", "UPI"),
+    ("uid", "insurance_tpa_policy_no", "PolicyNo"),
+    ("uid", "other_id", "ID"),
+    ("uid", "vehicle_id_licence_plate", "VehicleID"),
+    ("device_net", "ip_address", "IPAddress"),
+    ("device_net", "device_serial_identifier", "DeviceID"),
+    ("device_net", "mac_address", "MACAddress"),
+    ("credential", "password", "Password"),
+    ("credential", "api_key_token", "APIKey"),
+    ("credential", "high_entropy_secret", "Secret"),
+    ("entity", "brandname", "Brand"),
+)
+# What images hold, and the text that marks it.
+_VISUAL = (
+    ("face_photo", "[FACE]"),
+    ("signature", "[SIGNATURE]"),
+    ("seal_stamp", "[STAMP]"),
+    ("fingerprint_thumb_impression", "[FINGERPRINT]"),
+    ("qr_barcode", "[QR]"),
+    ("logo", "[LOGO]"),
+)
 VISUAL_GROUP, NO_GROUP, NO_PLACEHOLDER = "biometric_visual", "unknown", "[REMOVED]"
 
-
-def _read(text: str) -> tuple[dict[str, str], dict[str, str]]:
-    group, groups, labels = "", {}, {}
-    for word in text.split():
-        if word.endswith(":"):
-            group = word[:-1]
-        else:
-            category, _, label = word.partition("=")
-            groups[category], labels[category] = group, label
-    return groups, labels
-
-
-GROUPS, LABELS = _read(_TEXT)
-PLACEHOLDERS = dict(x.split("=") for x in _VISUAL.split())
+GROUPS = {category: group for group, category, _ in _TEXT}
+LABELS = {category: label for _, category, label in _TEXT}
+PLACEHOLDERS = dict(_VISUAL)
 TEXT_CATEGORIES, VISUAL_CATEGORIES = tuple(GROUPS), tuple(PLACEHOLDERS)
 CATEGORIES = TEXT_CATEGORIES + VISUAL_CATEGORIES
 
