@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hushframe.functions.generalize import generalized
 from hushframe.functions.text import normal, token
-from hushframe.operators.spans import gathered, merge_in_row, rebuilt, replaced
+from hushframe.operators.spans import gathered, merge_in_row, rebuilt, replaced, unused
 from hushframe.taxonomy import label_of
 
 MAPPING = "record_id string, label string, norm_key string, pseudonym string, original string"
@@ -107,11 +107,12 @@ def deidentify(
     found = occurrences(docs, spans, record, page)
     mapping = numbered(found, prior, counters)
     known = found.select("record_id", "label", "norm_key", "doc_id", "start").join(mapping.select("record_id", "label", "norm_key", "pseudonym"), ["record_id", "label", "norm_key"])
-    names = known.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("start", "pseudonym"))).alias("names"))
-    rows = docs.join(gathered(spans).join(names, "doc_id").hint("shuffle_hash"), "doc_id", "left")
-    rows = rows.withColumn("spans", F.when(F.col("spans").isNotNull(), merge_in_row(F.col("text"), F.col("spans"))))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(rebuilt(F.col("text"), F.col("spans"), lambda s: F.element_at("names", s["start"])))
-    return rows.withColumn("text", text).drop("spans", "names"), mapping
+    mine, named = unused(docs, "spans"), unused(docs, "names")
+    names = known.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("start", "pseudonym"))).alias(named))
+    rows = docs.join(gathered(spans).withColumnRenamed("spans", mine).join(names, "doc_id").hint("shuffle_hash"), "doc_id", "left")
+    rows = rows.withColumn(mine, F.when(F.col(mine).isNotNull(), merge_in_row(F.col("text"), F.col(mine))))
+    text = F.when(F.col(mine).isNull(), F.col("text")).otherwise(rebuilt(F.col("text"), F.col(mine), lambda s: F.element_at(named, s["start"])))
+    return rows.withColumn("text", text).select(*docs.columns), mapping
 
 
 def anonymize(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -12,7 +15,8 @@ from pyspark.sql import functions as F
 from hushframe.functions import pixels as px
 from hushframe.functions.generalize import generalized
 from hushframe.functions.text import token
-from hushframe.operators import blocks, boxes, pseudonyms
+from hushframe.operators import blocks, boxes, labels, pseudonyms
+from hushframe.operators.spans import unused
 from hushframe.taxonomy import placeholder_of
 
 MODES = ("solid", "blur", "pixelate")
@@ -28,8 +32,9 @@ def _painted(pages: DataFrame, marks: DataFrame, column: str, paint: Callable[[n
             out.append(None if data is None else px.to_png(paint(px.from_bytes(bytes(data)), [] if areas is None else list(areas))))
         return pd.Series(out, dtype=object)
 
-    rows = pages.join(marks.hint("shuffle_hash"), "page_id", "left")
-    return rows.withColumn("content", run("content", column)).drop(column)
+    mine = unused(pages, column)
+    rows = pages.join(marks.withColumnRenamed(column, mine).hint("shuffle_hash"), "page_id", "left")
+    return rows.withColumn("content", run("content", mine)).select(*pages.columns)
 
 
 def _box(b) -> tuple:
@@ -84,53 +89,26 @@ def relabelled(pages: DataFrame, entities: DataFrame, labels: DataFrame, black:
     return _painted(pages, marks, "marks", paint)
 
 
-def write_labels(image: np.ndarray, texts: list, ground: dict, visuals: list) -> np.ndarray:
-    """Labels from left to right in each row: from its own place or after the one before, smaller only where print is in the way."""
-    pil, drawing, _, fonts = px.pillow()
+def _face(fonts, size: int):
+    """The first of the usual sans faces that is there."""
+    for name in ("DejaVuSans.ttf", "Arial.ttf", "LiberationSans-Regular.ttf"):
+        with contextlib.suppress(OSError):
+            return fonts.truetype(name, size)
+    return fonts.load_default()
 
-    def font(size: int):
-        for name in ("DejaVuSans.ttf", "Arial.ttf", "LiberationSans-Regular.ttf"):
-            try:
-                return fonts.truetype(name, size)
-            except OSError:
-                pass
-        return fonts.load_default()
-
-    def fitted(text: str, room: float, size: int):
-        f = font(size)
-        while size > 8 and pen.textlength(text, font=f) > room:
-            size -= 1
-            f = font(size)
-        return f
 
+def write_labels(image: np.ndarray, texts: list, ground: dict, visuals: list) -> np.ndarray:
+    """The picture with labels and names written where `operators.labels` puts them."""
+    pil, drawing, _, fonts = px.pillow()
     sheet = pil.fromarray(image)
-    pen = drawing.Draw(sheet)
-    for row in blocks.label_rows([_box(t["bbox"]) for t in texts]):
-        free = 0
-        for t in (texts[i] for i in row):
-            x0, y0, x1, y1 = _box(t["bbox"])
-            colour, em, tall = ground[t["group_idx"]], t["em_size"], t["type_height"]
-            at = max(x0, free)
-            f = font(em)
-            width = pen.textlength(t["label"], font=f)
-            pad = max(2, int(0.2 * (y1 - y0)))
-            limit = px.content_limit(np.asarray(sheet), (y0, y1), max(min(sheet.width, x1 + pad), at), int(at + width + 8), colour)
-            room = max(8, limit - at - 2)
-            if width > room:
-                f = fitted(t["label"], room, em)
-                width = pen.textlength(t["label"], font=f)
-            if y1 - y0 <= 1.6 * tall:  # one line of print: on its base line
-                pen.text((at + 1, y1 - max(1, int(0.18 * tall))), t["label"], fill=px.ink(colour), font=f, anchor="ls")
-            else:
-                high = pen.textbbox((0, 0), t["label"], font=f)
-                pen.text((at + 1, y0 + max(0, (y1 - y0 - high[3] + high[1]) // 2) - high[1]), t["label"], fill=px.ink(colour), font=f)
-            free = int(at + width + max(6, em // 3))
-    for v in visuals:
-        x0, y0, x1, y1 = _box(v["bbox"])
-        f = fitted(v["name"], max(1, x1 - x0 - 4), max(8, (y1 - y0) // 4))
-        b = pen.textbbox((0, 0), v["name"], font=f)
-        spot = x0 + max(0, (x1 - x0 - b[2] + b[0]) // 2), y0 + max(0, (y1 - y0 - b[3] + b[1]) // 2) - b[1]
-        pen.text(spot, v["name"], fill=px.LABEL_INK, font=f)
+    pen, face = drawing.Draw(sheet), functools.cache(functools.partial(_face, fonts))
+    extent = lambda text, size: (pen.textlength(text, font=face(size)), pen.textbbox((0, 0), text, font=face(size)))
+    clear = lambda rows, left, right, colour: px.content_limit(np.asarray(sheet), rows, left, right, colour)
+    groups = [labels.Group(_box(t["bbox"]), t["label"], t["em_size"], t["type_height"], ground[t["group_idx"]]) for t in texts]
+    written = ((p, px.ink(p.colour)) for p in labels.label_places(groups, sheet.width, extent, clear))
+    names = ((p, p.colour) for p in labels.name_places([(_box(v["bbox"]), v["name"]) for v in visuals], extent, px.LABEL_INK))
+    for p, ink in itertools.chain(written, names):
+        pen.text((p.x, p.y), p.text, fill=ink, font=face(p.size), anchor="ls" if p.on_line else None)
     return np.asarray(sheet)
 
 

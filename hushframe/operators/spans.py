@@ -117,9 +117,17 @@ def mask(template: str = REDACTED) -> Callable[[Column], Column]:
     return lambda s: F.concat(*[piece[p](s) if p in piece else F.lit(p) for p in parts if p])
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with the array of their spans, null where there are none. The texts are shuffled once, and not sorted."""
-    return docs.join(gathered(spans).hint("shuffle_hash"), "doc_id", "left")
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores in front until df has no such column, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_spans(docs: DataFrame, spans: DataFrame, name: str = "spans") -> DataFrame:
+    """docs with the array of their spans under a name, null where there are none. The texts are shuffled once, and not sorted."""
+    return docs.join(gathered(spans).withColumnRenamed("spans", name).hint("shuffle_hash"), "doc_id", "left")
 
 
 def _exploded(rows: DataFrame) -> DataFrame:
@@ -150,12 +158,13 @@ def merge_adjacent(docs: DataFrame, spans: DataFrame, rounded: bool = True) -> D
 
 def replaced(docs: DataFrame, spans: DataFrame, substitute: Callable[[Column], Column], merge: bool = True) -> DataFrame:
     """docs with their texts' spans replaced, after uniting and (if merge) merging; texts without spans as they are."""
-    rows = with_spans(docs, spans)
+    name = unused(docs, "spans")
+    rows, mine = with_spans(docs, spans, name), F.col(name)
     join = merge_in_row if merge else union_in_row
     # the array is made once: the rebuilding reads it many times
-    rows = rows.withColumn("spans", F.when(F.col("spans").isNotNull(), join(F.col("text"), F.col("spans"))))
-    rows = rows.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(rebuilt(F.col("text"), F.col("spans"), substitute)))
-    return rows.drop("spans")
+    rows = rows.withColumn(name, F.when(mine.isNotNull(), join(F.col("text"), mine)))
+    rows = rows.withColumn("text", F.when(mine.isNull(), F.col("text")).otherwise(rebuilt(F.col("text"), mine, substitute)))
+    return rows.select(*docs.columns)
 
 
 def redact(docs: DataFrame, spans: DataFrame, template: str = REDACTED) -> DataFrame:

@@ -20,18 +20,22 @@ RULES = (
 )
 
 
+def either(rules=RULES) -> str:
+    """The pattern of texts in which some rule matches."""
+    return "|".join(f"(?:{p})" for _, p, _ in rules)
+
+
 def rule_spans(docs: DataFrame, categories: Iterable[str] | None = None, rules=RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Spans of every match of the rules in docs (key, text), numbered by start, end and category.
 
     Offsets are sums of the lengths of gaps and matches, in characters. Texts without a match end at the first filter;
     only matches are shuffled, once, by key. Null and empty texts have no spans.
     """
-    either = "|".join(f"(?:{p})" for _, p, _ in rules)
     found = [
         F.struct(F.lit(c).alias("category"), F.lit(float(s)).alias("score"), F.split(text, p, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(p), 0).alias("hits"), F.lit(i).alias("rule"))
         for i, (c, p, s) in enumerate(rules)
     ]
-    rows = docs.where(F.col(text).rlike(either)).select(F.col(key).alias("doc_id"), F.explode(F.array(*found)).alias("f")).where(F.size("f.hits") > 0)
+    rows = docs.where(F.col(text).rlike(either(rules))).select(F.col(key).alias("doc_id"), F.explode(F.array(*found)).alias("f")).where(F.size("f.hits") > 0)
     hits = rows.select("doc_id", "f.category", "f.score", "f.rule", F.posexplode(F.arrays_zip(F.slice("f.gaps", 1, F.size("f.hits")).alias("gap"), F.col("f.hits").alias("hit"))).alias("pos", "m"))
     hits = hits.select("doc_id", "category", "score", "rule", "pos", F.length("m.gap").alias("gap"), F.col("m.hit").alias("text")).repartition("doc_id")
     upto = Window.partitionBy("doc_id", "rule").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)

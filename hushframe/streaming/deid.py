@@ -12,15 +12,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hushframe.functions.generalize import generalized
 from hushframe.functions.text import normal, token
-from hushframe.operators.spans import mask, merge_in_row, rebuilt
-from hushframe.sources.rules import RULES, spans_in_row
+from hushframe.operators.spans import mask, merge_in_row, rebuilt, unused
+from hushframe.sources.rules import RULES, either, spans_in_row
 from hushframe.taxonomy import label_of
 
 
 def _replaced(docs: DataFrame, substitute, rules) -> DataFrame:
-    text = F.col("text")
-    rows = docs.withColumn("__spans", merge_in_row(text, spans_in_row(text, rules)))
-    return rows.withColumn("text", F.when(text.isNull(), text).otherwise(rebuilt(text, F.col("__spans"), substitute))).drop("__spans")
+    # few texts hold a match: the others are looked at once
+    text, name = F.col("text"), unused(docs, "spans")
+    rows = docs.withColumn(name, F.when(text.rlike(either(rules)), merge_in_row(text, spans_in_row(text, rules))))
+    return rows.withColumn("text", F.when(F.col(name).isNull(), text).otherwise(rebuilt(text, F.col(name), substitute))).select(*docs.columns)
 
 
 def redacted(docs: DataFrame, template: str = "[REDACTED]", rules=RULES) -> DataFrame:
@@ -44,7 +45,8 @@ def numbered(docs: DataFrame, rules=RULES) -> DataFrame:
     holds its values: keep the checkpoint as safe as the mapping.
     """
     text = F.col("text")
-    found = F.transform(merge_in_row(text, spans_in_row(text, rules)), lambda s: F.struct(
+    spans = F.when(text.rlike(either(rules)), merge_in_row(text, spans_in_row(text, rules)))
+    found = F.transform(spans, lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), label_of(s["category"]).alias("label"), normal(s["text"]).alias("norm"), s["text"].alias("original")))
     rows = docs.select(F.col("record_id").cast("string").alias("record_id"), F.col("page_no").cast("bigint").alias("page_no"), F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.to_json(found).alias("found"))
     out = "record_id string, page_no bigint, doc_id bigint, text string, entries map<string,string>"
@@ -83,8 +85,11 @@ def counted(events: DataFrame, by: Column | str, length: str = "1 hour", late: s
 
 
 def drained(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All that a stream has now, as a table: runs it to the end of its input into memory. For tests and small runs."""
-    spark = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    """All that a stream has now, as a table: runs it to the end of its input into Parquet files beside its checkpoint.
+
+    Rows are added to the files; a stream in mode complete writes them anew with each batch.
+    """
+    rows, out = f"{checkpoint}-rows", stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    out = out.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(rows)) if mode == "complete" else out.format("parquet").option("path", rows)
+    out.start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(rows)
