@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import cut, table
+from hushframe.llm.common import cut, free_name, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order of code points, repeating.
@@ -180,19 +180,24 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, see
 
 
 def resample(docs: DataFrame, **options) -> DataFrame:
-    """docs (doc_id, text, source and more) as mixed: each row as many times as its copies, none with 0."""
-    key = ["__id", "__source", "__size"]
+    """docs (doc_id, text, source and more) as mixed: each row as many times as its copies, none with 0.
+
+    All columns pass, whatever their names; null ids, texts and sources and rows that repeat are as in `mix`; an empty
+    table gives none.
+    """
+    id_, source, size, copies, n = (free_name(docs, x) for x in ("mixed_id", "mixed_source", "mixed_size", "mixed_copies", "mixed_n"))
+    key = [id_, source, size]
     sizes = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count(F.col("text"), F.lit(WORD))).cast("bigint")
     mixed = mix(docs, **options)
-    times = cut(mixed.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.collect_list("copies").alias("__copies")))
-    sized = docs.withColumns({"__id": F.col("doc_id"), "__source": F.col("source").cast("string"), "__size": sizes})
+    times = cut(mixed.groupBy(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("size").alias(size)).agg(F.collect_list("copies").alias(copies)))
+    sized = docs.withColumns({id_: F.col("doc_id"), source: F.col("source").cast("string"), size: sizes})
     same = [sized[k].eqNullSafe(times[k]) for k in key]
-    parts = [sized.join(times.where(F.size("__copies") == 1).hint("shuffle_hash"), same).withColumn("__n", F.col("__copies")[0])]
-    again = times.where(F.size("__copies") > 1)
+    parts = [sized.join(times.where(F.size(copies) == 1).hint("shuffle_hash"), same).withColumn(n, F.col(copies)[0])]
+    again = times.where(F.size(copies) > 1)
     if again.limit(1).count():  # rows that repeat in id, source and size: told apart by rank
         w = Window.partitionBy(*[times[k] for k in key]).orderBy("text")
-        parts.append(sized.join(again.hint("shuffle_hash"), same).withColumn("__n", F.get("__copies", F.row_number().over(w) - 1)))
-    out = [p.withColumn("__n", F.explode(F.array_repeat(F.lit(1), F.col("__n")))).select(*[docs[c] for c in docs.columns]) for p in parts]
+        parts.append(sized.join(again.hint("shuffle_hash"), same).withColumn(n, F.get(copies, F.row_number().over(w) - 1)))
+    out = [p.withColumn(n, F.explode(F.array_repeat(F.lit(1), F.col(n)))).select(*[docs[c] for c in docs.columns]) for p in parts]
     return out[0] if len(out) == 1 else out[0].union(out[1])
 
 

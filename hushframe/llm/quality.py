@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe.llm import textops
-from hushframe.llm.common import slices, table
+from hushframe.llm.common import free_name, slices, table
 
 #: Labelled rows that the model is fitted on at most, those of least hash; bytes of text that they hold at most.
 TRAIN_ROWS, TRAIN_BYTES = 5000, 20 << 20
@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int =
     """A model of labels (doc_id, quality 0 or 1) for docs (doc_id, text).
 
     Only labelled rows whose crc32(doc_id) mod 4 isn't 2 are seen: of these the `rows` with the least hash of the id,
-    stopping at `most` bytes of text, whole texts only. A fifth of them sets the temperature. Word vectors come from
+    stopping at `most` bytes of text, whole texts only, and passing over texts of more than an eighth of these. A fifth of them sets the temperature. Word vectors come from
     the same texts, so fitting costs the same for any corpus. Without labels every score is 0.5; with labels of one
     kind, their share.
     """
@@ -171,14 +171,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int =
     chosen = known.withColumn("__at", F.xxhash64("doc_id")).orderBy("__at", "doc_id").limit(rows)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     joined = docs.select("doc_id", text.alias("t")).join(F.broadcast(chosen), "doc_id")  # bounded by rows
-    sizes = joined.select("doc_id", "__at", F.octet_length("t").alias("n")).orderBy("__at", "doc_id").limit(rows).collect()
+    sizes = joined.select("doc_id", "__at", F.octet_length("t").alias("n")).where(F.col("n") <= most / 8).orderBy("__at", "doc_id").limit(rows).collect()
     total, last = 0, None
     for r in sizes:
         total += r["n"]
         if total > most:
             break
         last = r["__at"]
-    seen = joined.where(F.col("__at") <= F.lit(last)).orderBy("__at", "doc_id", "t").limit(rows).select("doc_id", "quality", "t").collect() if last is not None else []
+    seen = joined.where((F.col("__at") <= F.lit(last)) & (F.octet_length("t") <= most / 8)).orderBy("__at", "doc_id", "t").limit(rows).select("doc_id", "quality", "t").collect() if last is not None else []
     y = np.array([float(r["quality"]) for r in seen])
     shapes = index_vectors(SHAPES, 11)
     if not len(y) or y.min() == y.max():
@@ -211,11 +211,16 @@ def score(docs: DataFrame, model: QualityModel, name: str = "score") -> DataFram
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that a model of labels scores threshold or more; all rows if labels have no two kinds."""
+    """The rows of docs that a model of labels scores threshold or more; all rows if labels have no two kinds.
+
+    All columns pass, whatever their names. Null and empty texts are scored as texts without words, rows that repeat
+    each by their own text, and an empty table gives none.
+    """
     model = fit(docs, labels)
     if model.network is None:
         return docs
-    return score(docs, model, "__score").where(F.col("__score") >= threshold).drop("__score")
+    mine = free_name(docs, "score")
+    return score(docs, model, mine).where(F.col(mine) >= threshold).drop(mine)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,9 @@ RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 TRAIN_ROWS = 20_000
 #: Trees, their depth, the step, and the bins of a feature.
 TREES, DEPTH, RATE, BINS = 20, 3, 0.3, 16
-FEATURES = ("length", "host_length", "depth", "labels", "digits", "entropy", "parameters", "hyphens", "secure", "suffix_rate", "first_rate")
+FEATURES = ("length", "host_length", "depth", "labels", "digits", "entropy", "parameters", "hyphens", "secure", "suffix_rate")
+#: Parts into which labelled urls are dealt by hash, and the weight of the overall rate in that of a suffix.
+FOLDS, SMOOTH = 4, 10
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -69,7 +71,12 @@ def lexical(pages: DataFrame) -> DataFrame:
         "secure": url.startswith("https://").cast("int"),
     }
     out = pages.withColumns({k: v.cast("double") for k, v in named.items()})
-    return out.withColumns({"suffix": F.substring_index("host", ".", -1), "first": F.coalesce(F.get(F.split("path", "/"), F.lit(1)), F.lit(""))})
+    return out.withColumn("suffix", F.substring_index("host", ".", -3))
+
+
+def fold() -> Column:
+    """The part of a url, 0 to FOLDS - 1."""
+    return F.pmod(F.xxhash64(F.lit("fold"), F.col("url")), F.lit(FOLDS)).cast("int")
 
 
 def _boost(rows: list[tuple[tuple[int, ...], int, int]]) -> tuple[float, list]:
@@ -130,19 +137,18 @@ def _tree_score(tree, edges: dict[str, list[float]]) -> Column:
 
 
 class UrlModel:
-    """Fitted trees with their bin edges and the smoothed block rates of host suffixes and first path parts."""
+    """Fitted trees with their bin edges and the smoothed block rates of host suffixes (up to three labels)."""
 
-    def __init__(self, base: float, trees: list, edges: dict[str, list[float]], rates: dict[str, dict[str, float]], prior: float):
+    def __init__(self, base: float, trees: list, edges: dict[str, list[float]], rates: dict[str, float], prior: float):
         self.base, self.trees, self.edges, self.rates, self.prior = base, trees, edges, rates, prior
 
-    def with_rates(self, df: DataFrame) -> DataFrame:
-        for kind in ("suffix", "first"):
-            rate = F.lit(self.prior)
-            if self.rates[kind]:
-                table_ = F.create_map(*[F.lit(x) for kv in self.rates[kind].items() for x in kv])
-                rate = F.coalesce(F.try_element_at(table_, F.col(kind)), rate)
-            df = df.withColumn(f"{kind}_rate", rate)
-        return df
+    def with_rates(self, df: DataFrame, key: Column | None = None) -> DataFrame:
+        """df (suffix, or what key says) with suffix_rate; suffixes that weren't labelled have the overall rate."""
+        rate = F.lit(self.prior)
+        if self.rates:
+            table_ = F.create_map(*[F.lit(x) for kv in self.rates.items() for x in kv])
+            rate = F.coalesce(F.try_element_at(table_, F.col("suffix") if key is None else key), rate)
+        return df.withColumn("suffix_rate", rate)
 
     def probability(self) -> Column:
         """That the url is one to block."""
@@ -156,21 +162,23 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, kinds: int = 1000) -> UrlMo
     """Trees for (url, host, path, blocked boolean).
 
     Fitted on at most `rows` rows, those whose url has the least hash; the block rates are kept for the `kinds` most
-    frequent suffixes and first path parts of these rows. Without labelled rows, every url's probability is a half.
+    frequent suffixes of these rows. The trees learn from rates that leave out the url's own part of the rows, so that
+    a rate doesn't tell them the label of its row. Without labelled rows, every url's probability is a half.
     """
     sample = lexical(labelled.withColumn("at", F.xxhash64("url")).orderBy("at", "url").limit(rows))
-    sample = cut(sample.select("blocked", "suffix", "first", *[f for f in FEATURES if not f.endswith("_rate")]))
+    sample = cut(sample.select("blocked", "suffix", fold().alias("fold"), *[f for f in FEATURES if f != "suffix_rate"]))
     whole = sample.agg(F.count("*").alias("n"), F.sum(F.col("blocked").cast("int")).alias("b")).first()
     n, blocked = whole["n"], whole["b"] or 0
     prior = (blocked + 1) / (n + 2)
-    rates = {}
-    for kind in ("suffix", "first"):
-        seen = sample.groupBy(kind).agg(F.count("*").alias("n"), F.sum(F.col("blocked").cast("int")).alias("b"))
-        rates[kind] = {r[kind]: (r["b"] + 10 * prior) / (r["n"] + 10) for r in seen.orderBy(F.desc("n"), kind).limit(kinds).collect()}
-    model = UrlModel(0.0, [], {}, rates, prior)
+    mine = [F.col("fold") == i for i in range(FOLDS)]
+    counts = [F.count_if(m).alias(f"n{i}") for i, m in enumerate(mine)] + [F.count_if(m & F.col("blocked")).alias(f"b{i}") for i, m in enumerate(mine)]
+    seen = sample.groupBy("suffix").agg(F.count("*").alias("n"), F.count_if("blocked").alias("b"), *counts).orderBy(F.desc("n"), "suffix").limit(kinds).collect()
+    rate = lambda b, n: (b + SMOOTH * prior) / (n + SMOOTH)
+    model = UrlModel(0.0, [], {}, {r["suffix"]: rate(r["b"], r["n"]) for r in seen}, prior)
     if not n:
         return model
-    full = model.with_rates(sample)
+    apart = UrlModel(0.0, [], {}, {f"{i} {r['suffix']}": rate(r["b"] - r[f"b{i}"], r["n"] - r[f"n{i}"]) for r in seen for i in range(FOLDS) if r[f"n{i}"]}, prior)
+    full = apart.with_rates(sample, F.concat_ws(" ", F.col("fold").cast("string"), "suffix"))
     steps = [i / BINS for i in range(1, BINS)]
     cuts = full.agg(*[F.percentile_approx(f, steps, 10_000).alias(f) for f in FEATURES]).first()
     edges = {f: sorted(set(cuts[f])) for f in FEATURES}
@@ -182,6 +190,20 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, kinds: int = 1000) -> UrlMo
     return model
 
 
+def held_out_auc(labelled: DataFrame, rows: int = TRAIN_ROWS) -> float | None:
+    """The odds that a blocked url scores above an allowed one, on the fourth of (url, host, path, blocked) that isn't fitted on.
+
+    None without rows of both kinds there.
+    """
+    model = fit(labelled.where(fold() != 0), rows)
+    scored = model.with_rates(lexical(labelled.where(fold() == 0))).select("blocked", model.probability().alias("p"))
+    won, below, all_yes = 0.0, 0, 0
+    # as many rows as there are probabilities, of which the trees' leaves make a bounded number
+    for r in scored.groupBy("p").agg(F.count_if("blocked").alias("yes"), F.count_if(~F.col("blocked")).alias("no")).orderBy("p").collect():
+        won, below, all_yes = won + r["yes"] * (below + r["no"] / 2), below + r["no"], all_yes + r["yes"]
+    return won / (below * all_yes) if below and all_yes else None
+
+
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold: float = 0.5) -> DataFrame:
     """pages' columns page_id and url with host, path, rule, probability and verdict.
 
