@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hushframe.functions.pixels import to_png
 from hushframe.operators.boxes import box
 from hushframe.taxonomy import group_of
 
@@ -72,6 +75,40 @@ def made_entities(docs: DataFrame) -> DataFrame:
     return text.unionByName(visual).withColumn("l1", group_of(F.col("category")))
 
 
+#: Pixels of a made picture.
+PICTURE = (96, 64)
+
+
+def pattern(page: int) -> np.ndarray:
+    """A picture of slopes that no two pages in a row share."""
+    wide, high = PICTURE
+    y, x, c = np.ogrid[:high, :wide, :3]
+    return ((x * 3 + y * 5 + c * 40 + page * 7) % 256).astype(np.uint8)
+
+
+def made_images(parts: DataFrame) -> DataFrame:
+    """(page_id, record_id, page_no, width, height, content): a PNG for each part."""
+
+    @F.pandas_udf("binary")
+    def png(keys: pd.Series) -> pd.Series:
+        return keys.map(lambda k: to_png(pattern(int(k))))
+
+    key, (wide, high) = F.col("p_partkey"), PICTURE
+    return parts.select(key.alias("page_id"), F.col("p_mfgr").alias("record_id"), key.alias("page_no"), F.lit(wide).alias("width"), F.lit(high).alias("height"), png(key).alias("content"))
+
+
+def made_print(parts: DataFrame) -> DataFrame:
+    """Entities on `made_images`: the words of each part's name, three to a line, and a logo that one may lie in."""
+    words = parts.select(F.col("p_partkey").alias("page_id"), F.posexplode(F.split("p_name", " ")).alias("ent_idx", "text"))
+    i, x0 = F.col("ent_idx"), 4 + F.col("ent_idx") % 3 * 30
+    y0, kinds = 6 + F.floor(F.col("ent_idx") / 3) * 20, F.array(*map(F.lit, ("other_person_name", "city_district", "age")))
+    text = words.select("page_id", "ent_idx", F.element_at(kinds, ((F.col("page_id") + i) % 3 + 1).cast("int")).alias("category"), F.lit("text").alias("kind"),
+        box(x0, y0, x0 + F.least(F.lit(28), F.length("text") * 4), y0 + 10).alias("bbox"), "text")
+    logo = parts.select(F.col("p_partkey").alias("page_id"), F.lit(0).alias("ent_idx"), F.lit("logo").alias("category"), F.lit("visual").alias("kind"),
+        box(F.lit(60), F.lit(22), F.lit(94), F.lit(60)).alias("bbox"), F.lit(None).cast("string").alias("text"))
+    return text.unionByName(logo).withColumn("score", F.lit(0.5)).withColumn("l1", group_of(F.col("category")))
+
+
 def made_pages(docs: DataFrame) -> DataFrame:
     """(page_id, record_id, page_no, width, height), high enough for the words of `made_words`."""
     return docs.select(F.col("doc_id").alias("page_id"), F.col("source").alias("record_id"), F.col("doc_id").alias("page_no"), F.lit(480).alias("width"), F.coalesce(page_height(), F.lit(200)).alias("height"))

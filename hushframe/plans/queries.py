@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushframe.functions import pixels
 from hushframe.functions.generalize import generalized
 from hushframe.functions.text import hex_colour, is_blank, listed, normal, token
-from hushframe.operators import blocks, boxes, pseudonyms, reports, tokens
+from hushframe.operators import blocks, boxes, pseudonyms, raster, reports, tokens
 from hushframe.operators import spans as sp
 from hushframe.plans import inputs
 from hushframe.sources.files import entities_json, spans_json, table
@@ -364,6 +367,57 @@ def image_counter_mapping(spark, folder):
     return pseudonyms.numbered(blocks.group_occurrences(g, inputs.made_pages(d)))
 
 
+def painted(spark: SparkSession, folder: str, step: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """(page_id, pixels): a hash of each made picture's pixels after a step."""
+
+    @F.pandas_udf("string")
+    def digest(content: pd.Series) -> pd.Series:
+        return content.map(lambda data: hashlib.sha256(pixels.from_bytes(bytes(data)).tobytes()).hexdigest())
+
+    parts = table(spark, folder, "part")
+    out = step(inputs.made_images(parts), inputs.made_print(parts))
+    return out.select("page_id", digest("content").alias("pixels"))
+
+
+@query
+def page_redact_solid(spark, folder):
+    return painted(spark, folder, lambda p, e: raster.redact(p, e, colour=(9, 8, 7)))
+
+
+@query
+def page_redact_blur(spark, folder):
+    return painted(spark, folder, lambda p, e: raster.redact(p, e, "blur"))
+
+
+@query
+def page_redact_pixelate(spark, folder):
+    return painted(spark, folder, lambda p, e: raster.redact(p, e, "pixelate"))
+
+
+@query
+def page_anonymize(spark, folder):
+    """Text groups erased and visuals black; labels aren't written, as that takes a font."""
+    return painted(spark, folder, lambda p, e: raster.anonymize(p, e, draw=False))
+
+
+@query
+def page_deidentify(spark, folder):
+    """Text groups erased and visuals grey; labels aren't written, as that takes a font."""
+    return painted(spark, folder, lambda p, e: raster.deidentify(p, e, draw=False)[0])
+
+
+@query
+def page_mapping(spark, folder):
+    """The pseudonyms of the pictures' text groups, numbered by manufacturer."""
+    parts = table(spark, folder, "part")
+    return raster.deidentify(inputs.made_images(parts), inputs.made_print(parts), draw=False)[1]
+
+
+@query
+def page_overlay(spark, folder):
+    return painted(spark, folder, lambda p, e: raster.overlaid(p, e, {"person": (200, 0, 0), "location": (0, 0, 200)}))
+
+
 @query
 def entity_counts(spark, folder):
     return reports.counts(found(spark, folder)[1], "category")
