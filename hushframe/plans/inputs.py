@@ -94,7 +94,7 @@ def made_images(parts: DataFrame) -> DataFrame:
         return keys.map(lambda k: to_png(pattern(int(k))))
 
     key, (wide, high) = F.col("p_partkey"), PICTURE
-    return parts.select(key.alias("page_id"), F.col("p_mfgr").alias("record_id"), key.alias("page_no"), F.lit(wide).alias("width"), F.lit(high).alias("height"), png(key).alias("content"))
+    return parts.select(key.alias("page_id"), F.col("p_brand").alias("record_id"), key.alias("page_no"), F.lit(wide).alias("width"), F.lit(high).alias("height"), png(key).alias("content"))
 
 
 def made_print(parts: DataFrame) -> DataFrame:

@@ -408,7 +408,7 @@ def page_deidentify(spark, folder):
 
 @query
 def page_mapping(spark, folder):
-    """The pseudonyms of the pictures' text groups, numbered by manufacturer."""
+    """The pseudonyms of the pictures' text groups, numbered by brand."""
     parts = table(spark, folder, "part")
     return raster.deidentify(inputs.made_images(parts), inputs.made_print(parts), draw=False)[1]
 

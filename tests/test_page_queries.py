@@ -16,7 +16,7 @@ NAMES = {3: "oak moss pewter", 4: "a bb ccc dddd eeeee ffffff ggggggg", 11: "one
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("pictures")
-    spark.createDataFrame([(k, n, "m") for k, n in NAMES.items()], "p_partkey bigint, p_name string, p_mfgr string").write.parquet(f"{path}/part.parquet")
+    spark.createDataFrame([(k, n, "m") for k, n in NAMES.items()], "p_partkey bigint, p_name string, p_brand string").write.parquet(f"{path}/part.parquet")
     return str(path)
 
 
