@@ -22,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, as in tests, a temporary one of this machine."""
+    """The folder of spark.checkpoint.dir; where that is unset, a temporary one of this machine, with a local master only."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not folder:
         current = sc._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="hushframe-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(folder)
