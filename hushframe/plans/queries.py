@@ -510,10 +510,13 @@ def _drained(spark: SparkSession, folder: str, step) -> DataFrame:
 
 
 def _shared(spark: SparkSession) -> str:
-    """Where streams keep their progress: the shared folder, or a temporary one where there is none, as in tests."""
+    """Where streams keep their progress and rows: the shared folder, or with a local master a temporary one where there is none."""
     import tempfile
 
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder or tempfile.mkdtemp()
 
 
 @query
