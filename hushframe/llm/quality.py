@@ -60,9 +60,9 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (h >> U(49)).astype(np.int32), shape.astype(np.int16), bounds
 
 
-def context_vectors(bucket: np.ndarray, bounds: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """Each bucket's sum of its neighbours' index vectors, scaled to unit length."""
-    out = np.zeros((BUCKETS, DIM), np.float32)
+def context_sums(bucket: np.ndarray, bounds: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Each bucket's sum of its neighbours' index vectors: whole numbers, so that sums of parts add up in any order."""
+    out = np.zeros((BUCKETS, DIM), np.float64)
     row = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
     for gap in range(1, REACH + 1):
         for lo in range(0, len(bucket) - gap, WORDS):
@@ -71,6 +71,30 @@ def context_vectors(bucket: np.ndarray, bounds: np.ndarray, index: np.ndarray) -
             for x, y in ((ok, ok + gap), (ok + gap, ok)):
                 kinds, times = np.unique(bucket[x].astype(np.int64) * BUCKETS + bucket[y], return_counts=True)
                 _add(out, kinds // BUCKETS, kinds % BUCKETS, times, index)
+    return out
+
+
+def context_vectors(docs: DataFrame) -> np.ndarray:
+    """The buckets' context vectors, scaled to unit length, over all words of all rows of docs (text).
+
+    A task adds up its rows and sends each bucket it met once; the driver gets one row a bucket, whatever the corpus.
+    Null and empty texts have no words; buckets without words, and all of them for an empty table, are zero.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, total = index_vectors(BUCKETS, 7), np.zeros((BUCKETS, DIM), np.float64)
+        for batch in slices(batches, "t"):
+            bucket, _, bounds = tokens(batch.column("t"))
+            total += context_sums(bucket, bounds, index)
+        met = np.flatnonzero(np.abs(total).sum(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), *[pa.array(total[met, i].astype(np.int64)) for i in range(DIM)]], names=["bucket", *names])
+
+    names = [f"s{i}" for i in range(DIM)]
+    text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("t"))
+    parts = text.mapInArrow(add, "bucket int, " + ", ".join(f"{n} bigint" for n in names))
+    sums = parts.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+    out = np.zeros((BUCKETS, DIM), np.float32)
+    out[sums.column("bucket").to_numpy()] = np.stack([sums.column(n).to_numpy() for n in names], axis=1)
     return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-6)
 
 
@@ -79,7 +103,7 @@ def _add(out: np.ndarray, a: np.ndarray, b: np.ndarray, times: np.ndarray, index
     cuts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.empty(0, np.int64)
     for at in range(0, len(cuts), 2048):
         lo, hi = cuts[at], cuts[at + 2048] if at + 2048 < len(cuts) else len(a)
-        part = index[b[lo:hi]] * times[lo:hi, None].astype(np.float32)
+        part = index[b[lo:hi]] * times[lo:hi, None].astype(np.float64)
         out[a[cuts[at : at + 2048]]] += np.add.reduceat(part, cuts[at : at + 2048] - lo, axis=0)
 
 
@@ -163,9 +187,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int =
     """A model of labels (doc_id, quality 0 or 1) for docs (doc_id, text).
 
     Only labelled rows whose crc32(doc_id) mod 4 isn't 2 are seen: of these the `rows` with the least hash of the id,
-    stopping at `most` bytes of text, whole texts only, and passing over texts of more than an eighth of these. A fifth of them sets the temperature. Word vectors come from
-    the same texts, so fitting costs the same for any corpus. Without labels every score is 0.5; with labels of one
-    kind, their share.
+    stopping at `most` bytes of text, whole texts only, and passing over texts of more than an eighth of these. A fifth
+    of them sets the temperature. Word vectors come from all rows of docs, whose texts alone are read for them. Without
+    labels every score is 0.5; with labels of one kind, their share.
     """
     known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.withColumn("__at", F.xxhash64("doc_id")).orderBy("__at", "doc_id").limit(rows)
@@ -187,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int =
     seen.clear()
     bucket, shape = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
     bounds = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
-    context = context_vectors(bucket, bounds, index_vectors(BUCKETS, 7))
+    context = context_vectors(docs)
     x = pool(bucket, shape, bounds, context, shapes)
     return QualityModel(context, shapes, Network(x, y, np.arange(len(y)) % 5 == 4), 0.5)
 

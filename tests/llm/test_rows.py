@@ -243,3 +243,21 @@ def test_pooling_in_blocks_is_the_mean():
         own = slice(bounds[i], bounds[i + 1])
         assert np.allclose(got[i, : quality.DIM], context[bucket[own]].astype(float).mean(axis=0)) and np.allclose(got[i, quality.DIM : 2 * quality.DIM], shapes[shape[own]].astype(float).mean(axis=0))
     assert not got[1].any() and not got[2].any()
+
+
+def test_context_vectors_add_up_all_rows(spark):
+    words = ["a", "bb", "Cc", "d1", "e."]
+    texts = [" ".join(words[(i * j + j) % 5] for j in range(i % 9)) for i in range(60)] + [None, "", "a a a", "a a a"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(7)
+    index = quality.index_vectors(quality.BUCKETS, 7).astype(float)
+    sums = np.zeros((quality.BUCKETS, quality.DIM))
+    for t in texts:
+        bucket = quality.tokens(pa.array([(t or "").encode()], pa.binary()))[0]
+        for i, b in enumerate(bucket):
+            for j in range(max(0, i - quality.REACH), min(len(bucket), i + quality.REACH + 1)):
+                if j != i:
+                    sums[b] += index[bucket[j]]
+    length = np.sqrt((sums**2).sum(axis=1, keepdims=True))
+    assert (length > 0).sum() == 5
+    assert np.allclose(quality.context_vectors(docs), sums / np.maximum(length, 1e-6), atol=1e-6)
+    assert not quality.context_vectors(docs.limit(0)).any()
