@@ -22,7 +22,7 @@ SHAPES = KINDS**3 * 2
 HIDDEN, EPOCHS, STEP, DECAY = 32, 60, 3e-3, 1e-4
 THRESHOLD = 0.7
 #: Words whose neighbours are added up at once.
-WORDS = 1 << 18
+WORDS = 1 << 14
 U = np.uint64
 
 
@@ -62,16 +62,22 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def context_sums(bucket: np.ndarray, bounds: np.ndarray, index: np.ndarray) -> np.ndarray:
     """Each bucket's sum of its neighbours' index vectors: whole numbers, so that sums of parts add up in any order."""
-    out = np.zeros((BUCKETS, DIM), np.float64)
-    row = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
-    for gap in range(1, REACH + 1):
-        for lo in range(0, len(bucket) - gap, WORDS):
-            hi = min(lo + WORDS, len(bucket) - gap)
-            ok = lo + np.flatnonzero(row[lo + gap : hi + gap] == row[lo:hi])
-            for x, y in ((ok, ok + gap), (ok + gap, ok)):
-                kinds, times = np.unique(bucket[x].astype(np.int64) * BUCKETS + bucket[y], return_counts=True)
-                _add(out, kinds // BUCKETS, kinds % BUCKETS, times, index)
-    return out
+    out = np.zeros((BUCKETS + 1, DIM), np.float64)
+    # rows lie REACH places without a word apart, so that no word is the neighbour of another row's
+    vectors = np.concatenate([index, np.zeros((1, DIM))]).astype(np.int8)
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    places = np.full(len(bucket) + REACH * len(bounds), BUCKETS, np.uint16)
+    places[np.arange(len(bucket)) + REACH * (row + 1)] = bucket
+    for lo in range(REACH, len(places) - REACH, WORDS):
+        n = min(WORDS, len(places) - REACH - lo)
+        near = vectors[places[lo - REACH : lo + n + REACH]]
+        total = sum(near[REACH + gap : REACH + gap + n] + near[REACH - gap : REACH - gap + n] for gap in range(1, REACH + 1))
+        own = places[lo : lo + n]
+        order = np.argsort(own, kind="stable")
+        own = own[order]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        out[own[first]] += np.add.reduceat(total[order], first, axis=0, dtype=np.int32)
+    return out[:-1]
 
 
 def context_vectors(docs: DataFrame) -> np.ndarray:
@@ -98,15 +104,6 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
     return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-6)
 
 
-def _add(out: np.ndarray, a: np.ndarray, b: np.ndarray, times: np.ndarray, index: np.ndarray) -> None:
-    """Adds times * index[b] to out[a]; a is sorted."""
-    cuts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.empty(0, np.int64)
-    for at in range(0, len(cuts), 2048):
-        lo, hi = cuts[at], cuts[at + 2048] if at + 2048 < len(cuts) else len(a)
-        part = index[b[lo:hi]] * times[lo:hi, None].astype(np.float64)
-        out[a[cuts[at : at + 2048]]] += np.add.reduceat(part, cuts[at : at + 2048] - lo, axis=0)
-
-
 def pool(bucket: np.ndarray, shape: np.ndarray, bounds: np.ndarray, context: np.ndarray, shapes: np.ndarray) -> np.ndarray:
     """Means over each row of its words' context vectors and its shapes' index vectors, with both lengths; zeros without words."""
     n = np.diff(bounds)
