@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hushframe.functions.text import first_number
-from hushframe.taxonomy import label_of
+from hushframe.taxonomy import upper_label_of
 
 # What each kind of category becomes.
 KEPT = ("country", "state_province")
@@ -26,5 +26,5 @@ def generalized(category: Column, value: Column) -> Column:
         .when(category == "age", F.when(number == "", "[AGE]").otherwise(decade))
         .when(category.isin(*DATES), F.when(year == "", "[DATE]").otherwise(year))
         .when(category.isin(*PLACES), "[LOCATION]")
-        .otherwise(F.concat(F.lit("["), F.upper(label_of(category)), F.lit("]")))
+        .otherwise(F.concat(F.lit("["), upper_label_of(category), F.lit("]")))
     )

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import importlib.util
+import os
 from collections.abc import Callable, Iterable
 
 import pandas as pd
+from pyspark import SparkFiles, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,34 @@ def require(module: str, hint: str) -> None:
         raise ImportError(f"{module} is not installed: {hint}")
 
 
+#: What this Python worker has built, by the digest of what builds it.
+_BUILT: dict[str, object] = {}
+
+
+def once_a_worker(make: Callable[[], object]) -> Callable[[], object]:
+    """A function that gives what make() builds, and builds it when a Python worker first asks: its later tasks find it there."""
+    key = hashlib.sha256(cloudpickle.dumps(make)).hexdigest()
+
+    def get() -> object:
+        if key not in _BUILT:
+            _BUILT[key] = make()
+        return _BUILT[key]
+
+    return get
+
+
+def located(source: str, part: str | None = None) -> str:
+    """The folder of a model, for use where it is built: a local folder, or a name that spark.sparkContext.addArchive or addFile shipped.
+
+    If the folder has one named `part`, that one. FileNotFoundError if neither is there: nothing is fetched.
+    """
+    for folder in (source, *([SparkFiles.get(source)] if not os.path.isabs(source) else [])):
+        if os.path.isdir(folder):
+            inner = os.path.join(folder, part or "")
+            return inner if part and os.path.isdir(inner) else folder
+    raise FileNotFoundError(f"no folder {source}, and nothing of that name was shipped with the job")
+
+
 def token_labels(docs: DataFrame, make: Callable[[], Callable[[list[str]], Iterable[list[tuple]]]]) -> DataFrame:
     """The tokens table that a model gives for docs (doc_id, text).
 
@@ -30,8 +61,10 @@ def token_labels(docs: DataFrame, make: Callable[[], Callable[[list[str]], Itera
     deterministic for the optimiser and runs once for each row.
     """
 
+    built = once_a_worker(make)
+
     def run(frames):
-        model = make()
+        model = built()
         for pdf in frames:
             rows = [(doc, *t) for doc, found in zip(pdf["doc_id"], model(pdf["text"].tolist())) for t in found]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_idx", "tok_idx", "char_start", "char_end", "label", "score"])
@@ -41,10 +74,10 @@ def token_labels(docs: DataFrame, make: Callable[[], Callable[[list[str]], Itera
 
 def visual_entities(pages: DataFrame, make: Callable[[], Callable[[bytes, float], Iterable[tuple]]], threshold: float = 0.25, categories: Iterable[str] | None = None) -> DataFrame:
     """Visual entities of pages (page_id, content): make() gives a function of bytes and threshold to (category, box, score)."""
-    asked = checked(categories)
+    asked, built = checked(categories), once_a_worker(make)
 
     def run(frames):
-        find = make()
+        find = built()
         for pdf in frames:
             rows = []
             for page, data in zip(pdf["page_id"], pdf["content"]):

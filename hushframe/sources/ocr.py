@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.operators.boxes import box, to_pixels
+from hushframe.sources.models import once_a_worker
 
 WORDS = "page_id bigint, word_idx int, word string, box struct<x0:int,y0:int,x1:int,y1:int>"
 
@@ -69,8 +70,10 @@ def engine_words(pages: DataFrame, make: Callable[[], Callable[[bytes], Iterable
     come back in pixels.
     """
 
+    built = once_a_worker(make)
+
     def run(frames):
-        read = make()
+        read = built()
         for pdf in frames:
             rows = [
                 (page, i, word, dict(zip(("x0", "y0", "x1", "y1"), map(int, b))), w, h)

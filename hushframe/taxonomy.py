@@ -106,6 +106,11 @@ def label_of(category: Column) -> Column:
     return F.coalesce(F.try_element_at(_map(LABELS), category), F.array_join(parts, ""))
 
 
+def upper_label_of(category: Column) -> Column:
+    """The label of a category column in capitals: what is left of `label_of`'s parts then is their letters."""
+    return F.upper(F.coalesce(F.try_element_at(_map(LABELS), category), F.replace(category, F.lit("_"), F.lit(""))))
+
+
 def placeholder_of(category: Column) -> Column:
     return F.coalesce(F.try_element_at(_map(PLACEHOLDERS), category), F.lit(NO_PLACEHOLDER))
 
