@@ -1,4 +1,4 @@
-"""A batch job over a table of texts: spark-submit -m hushframe.job redact --input IN --output OUT, and the like.
+"""A batch job over a table of texts: python -m hushframe.job redact --input IN --output OUT, and the like.
 
 Every flag has a setting of the session, spark.hushframe.<flag>, which counts where the flag isn't given; give secrets
 that way, as Spark hides settings of that name.
