@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import connected_components, cut, forest, table
+from hushframe.llm.common import connected_components, cut, forest, partitions, table
 
 #: Vectors of one tree, about; cells at the top at most; vectors that the cells' centres are chosen from at most.
 NODE, CELLS, SAMPLE = 4096, 64, 4096
+#: Nodes that travel as one block at most, and bytes of their unit vectors.
+SPAN, SPAN_BYTES = 16, 32 << 20
 #: Covering radii of a tree's levels: each half of the one above.
 RADII = (1.0, 0.5, 0.25, 0.125)
 #: What single precision may be off by in a distance.
@@ -74,7 +76,8 @@ class Tree:
 
     def packed(self) -> bytes:
         """The tree without its vectors: made once a node, read in each of its tasks."""
-        return pickle.dumps((self.levels, self.leaf))
+        levels = [(centres.astype(np.int32), parents.astype(np.int32), radius) for centres, parents, radius in self.levels]
+        return pickle.dumps((levels, self.leaf.astype(np.int32)))
 
     @classmethod
     def unpacked(cls, data: bytes, x: np.ndarray) -> Tree:
@@ -183,13 +186,20 @@ def _farthest_first(x: np.ndarray, count: int) -> np.ndarray:
     return x[chosen]
 
 
+def _span(nodes: int, dim: int, tasks: int) -> int:
+    """Nodes to a block, so that pairs of blocks are about as many as tasks, and a block stays within its bytes."""
+    return max(1, min(SPAN, SPAN_BYTES // (NODE * 8 * dim), -(-nodes // math.isqrt(2 * max(1, tasks)))))
+
+
 def near_links(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id) for every row: its pairs of that cosine or more, and the smallest id that links lead to.
 
     Equal vectors are one item. Items fall into cells around centres; cells are cut into nodes of about 4096, each
-    with a cover tree. Two nodes meet in a task unless the covering radii of their cells, or the plane between the
-    centres, rule a link out, and their trees are traversed together. A node is at most a few MB and a task reads
-    two, whatever group of vectors is large; no pair is kept as a row. Vectors that are null, empty, zero or hold
+    with a cover tree. Nodes travel in blocks: as many as leave each shuffle partition a pair of blocks, and at most
+    SPAN of them or SPAN_BYTES of unit vectors. Two blocks meet in a task unless the covering radii of their cells rule
+    a link out, and the trees of each pair of their nodes are traversed together. So n vectors are sent about
+    sqrt(2 * partitions) times each, or n / (SPAN * NODE) times if that is more; a task reads two blocks, whatever group
+    of vectors is large; no pair is kept as a row. Vectors that are null, empty, zero or hold
     null or non-finite components link with nothing and are components of their own; vectors of different lengths
     don't link; repeated rows count each; a null id has no component; an empty table gives none; other columns are
     not read.
@@ -206,9 +216,10 @@ def near_links(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id",
     if dims:
         dim, total = dims[0]["dim"], dims[0]["count"]
         sample = items.where(F.col("dim") == dim).orderBy(F.xxhash64("item"), "item").limit(SAMPLE).select("v").collect()
-        centres = _farthest_first(_unit(np.array([r["v"] for r in sample])), min(CELLS, -(-total // NODE)))
+        span = _span(-(-total // NODE), dim, partitions(spark))
+        centres = _farthest_first(_unit(np.array([r["v"] for r in sample])), min(CELLS, -(-total // (NODE * span))))
     else:
-        dim, centres = 0, np.empty((0, 0))
+        dim, span, centres = 0, 1, np.empty((0, 0))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,7 +239,8 @@ def near_links(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id",
     placed = cut(items.mapInArrow(place, "item bigint, times bigint, v array<double>, cell bigint, far double"))
     # at most CELLS cells, and one for each other length of vectors
     cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("r")).collect()
-    blocks = {r["cell"]: -(-r["n"] // NODE) for r in cells}
+    parts = {r["cell"]: -(-r["n"] // NODE) for r in cells}
+    blocks = {c: -(-n // span) for c, n in parts.items()}
     meet = []
     for p in cells:
         for q in cells:
@@ -241,45 +253,57 @@ def near_links(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id",
             if c != e:
                 meet.append((e, c, c, e))
     pairs = spark.createDataFrame([(own, x, y, blocks[other]) for own, other, x, y in meet], "cell bigint, x bigint, y bigint, others int")
-    sizes = spark.createDataFrame([(c, n) for c, n in blocks.items()], "cell bigint, blocks int")
+    sizes = spark.createDataFrame(list(parts.items()), "cell bigint, parts int")
+    kept = np.float32 if dict(vectors.dtypes)[vec_col] == "array<float>" else np.float64
 
     def gather(rows: pa.Table) -> pa.Table:
         vs = rows.column("v").combine_chunks()
         flat = vs.flatten().to_numpy()
         return pa.table({
-            "cell": rows.column("cell").slice(0, 1), "block": rows.column("block").slice(0, 1).cast(pa.int32()), "dim": pa.array([len(flat) // len(vs)], pa.int32()),
+            "cell": rows.column("cell").slice(0, 1), "node": rows.column("node").slice(0, 1).cast(pa.int32()), "dim": pa.array([len(flat) // len(vs)], pa.int32()),
             "items": pa.array([rows.column("item").to_numpy().tobytes()]), "times": pa.array([rows.column("times").to_numpy().tobytes()]),
-            "vs": pa.array([(x := _unit(flat.reshape(len(vs), -1))).tobytes()]), "tree": pa.array([Tree(x).packed()], pa.binary()),
+            "vs": pa.array([flat.astype(kept).tobytes()]), "tree": pa.array([Tree(_unit(flat.reshape(len(vs), -1))).packed()], pa.binary()),
         })
 
     # both small tables are bounded by CELLS squared
-    nodes = placed.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
-    nodes = cut(nodes.select("cell", "block", "item", "times", "v").groupBy("cell", "block").applyInArrow(gather, "cell bigint, block int, dim int, items binary, times binary, vs binary, tree binary"))
+    nodes = placed.join(F.broadcast(sizes), "cell").withColumn("node", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int"))
+    nodes = cut(nodes.select("cell", "node", "item", "times", "v").groupBy("cell", "node").applyInArrow(gather, "cell bigint, node int, dim int, items binary, times binary, vs binary, tree binary"))
     tasks = (
-        nodes.join(F.broadcast(pairs), "cell")
+        nodes.withColumn("block", F.floor(F.col("node") / span).cast("int")).join(F.broadcast(pairs), "cell")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
         .withColumn("bx", F.when(F.col("x") == F.col("y"), F.least("block", "other")).otherwise(F.when(F.col("cell") == F.col("x"), F.col("block")).otherwise(F.col("other"))))
         .withColumn("by", F.when(F.col("x") == F.col("y"), F.greatest("block", "other")).otherwise(F.when(F.col("cell") == F.col("x"), F.col("other")).otherwise(F.col("block"))))
-        .select("x", "bx", "y", "by", "cell", "block", "dim", "items", "times", "vs", "tree")
+        .select("x", "bx", "y", "by", "cell", "block", "node", "dim", "items", "times", "vs", "tree")
     )
 
+    def read(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, Tree]:
+        x = _unit(np.frombuffer(r["vs"], kept).astype(np.float64).reshape(-1, r["dim"]))
+        return np.frombuffer(r["items"], np.int64), np.frombuffer(r["times"], np.int64), x, Tree.unpacked(r["tree"], x)
+
     def traverse(key: tuple, rows: pa.Table) -> pa.Table:
-        have = {(r["cell"], r["block"]): r for r in rows.to_pylist()}
-        left, right = (have[key[0].as_py(), key[1].as_py()], have[key[2].as_py(), key[3].as_py()])
-        same = left is right
-        read = lambda r: (np.frombuffer(r["items"], np.int64), np.frombuffer(r["times"], np.int64), np.frombuffer(r["vs"], np.float64).reshape(-1, r["dim"]))
-        ia, ta, xa = read(left)
-        ib, tb, xb = (ia, ta, xa) if same else read(right)
-        ta_ = Tree.unpacked(left["tree"], xa)
-        tb_ = ta_ if same else Tree.unpacked(right["tree"], xb)
-        i, j = dual_pairs(ta_, tb_, xa, xb, tau, cosine, same)
-        counts = [np.bincount(i, weights=tb[j], minlength=len(ia)).astype(np.int64), np.bincount(j, weights=ta[i], minlength=len(ib)).astype(np.int64)]
-        ids, links = np.concatenate([ia, ib]), np.concatenate(counts)
-        some = links > 0
-        a, b = forest(ia[i], ib[j]) if len(i) else (np.empty(0, np.int64),) * 2
+        sides: list[list] = [[], []]
+        same = key[0].as_py() == key[2].as_py() and key[1].as_py() == key[3].as_py()
+        for r in sorted(rows.to_pylist(), key=lambda r: r["node"]):
+            sides[(r["cell"], r["block"]) != (key[0].as_py(), key[1].as_py())].append(read(r))
+        left, right = sides[0], sides[0] if same else sides[1]
+        links = [[np.zeros(len(ids), np.int64) for ids, *_ in side] for side in (left, right)]
+        ends = [np.empty((2, 0), np.int64)]
+        for m, (ia, ta, xa, tree_a) in enumerate(left):
+            for n, (ib, tb, xb, tree_b) in enumerate(right):
+                if same and n < m:
+                    continue
+                i, j = dual_pairs(tree_a, tree_b, xa, xb, tau, cosine, same and n == m)
+                if len(i):
+                    links[0][m] += np.bincount(i, weights=tb[j], minlength=len(ia)).astype(np.int64)
+                    links[1][n] += np.bincount(j, weights=ta[i], minlength=len(ib)).astype(np.int64)
+                    ends.append(np.stack(forest(ia[i], ib[j])))
+        ids, counts = np.concatenate([ids for side in (left, right) for ids, *_ in side]), np.concatenate([c for side in links for c in side])
+        some = counts > 0
+        a, b = np.concatenate(ends, axis=1)
+        a, b = forest(a, b) if len(a) else (a, b)
         root = dict(zip(b.tolist(), a.tolist()))
-        ids, links = ids[some], links[some]
-        return pa.table({"item": ids, "links": links, "root": np.array([root.get(x, x) for x in ids.tolist()], np.int64)})
+        ids, counts = ids[some], counts[some]
+        return pa.table({"item": ids, "links": counts, "root": np.array([root.get(x, x) for x in ids.tolist()], np.int64)})
 
     found = cut(tasks.groupBy("x", "bx", "y", "by").applyInArrow(traverse, "item bigint, links bigint, root bigint"))
     linked = cut(connected_components(found.select(F.col("root").alias("a"), F.col("item").alias("b"))))

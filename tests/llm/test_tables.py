@@ -105,19 +105,25 @@ def expected(rows):
     return {i: (links[i], find(i)) for i, _ in rows}
 
 
-@pytest.mark.parametrize("node", [4096, 16])
-def test_embeddings_against_all_pairs(spark, monkeypatch, node):
+@pytest.mark.parametrize("node, span, kind", [(4096, 16, "float"), (16, 16, "float"), (16, 1, "float"), (8, 2, "double")])
+def test_embeddings_against_all_pairs(spark, monkeypatch, node, span, kind):
     monkeypatch.setattr(embedding_dedup, "NODE", node)
+    monkeypatch.setattr(embedding_dedup, "SPAN", span)
     vs = vectors()
     order = list(range(len(vs)))
     random.Random(3).shuffle(order)
     rows = [(i, vs[k]) for i, k in enumerate(order)]
-    df = spark.createDataFrame([(i, v, 7) for i, v in rows], "vec_id long, embedding array<float>, item int").repartition(3)
+    df = spark.createDataFrame([(i, v, 7) for i, v in rows], f"vec_id long, embedding array<{kind}>, item int").repartition(3)
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_links(df).collect()}
     assert got == expected(rows)
     assert embedding_dedup.near_links(df.limit(0)).count() == 0
 
 
+def test_blocks_follow_tasks_and_bytes():
+    assert embedding_dedup._span(1, 64, 200) == 1 and embedding_dedup._span(13, 64, 8) == 4
+    assert embedding_dedup._span(10**6, 64, 200) == 16 and embedding_dedup._span(10**6, 1024, 200) == 1
+
+
 def test_tree_holds_all_and_traversal_loses_nothing():
     draw = np.random.default_rng(2)
     x = embedding_dedup._unit(np.concatenate([c + draw.normal(size=(60, 12)) * s for c, s in zip(draw.normal(size=(8, 12)) * 3, (0.05, 0.1, 0.2, 0.4, 0.8, 1, 1, 2))]))
