@@ -15,23 +15,34 @@ EXACT_FROM = 90
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text).
+    """(doc_id, n_shingles, n_links, component_id) for every row of docs (doc_id, text).
 
     Two rows link when 100 * intersection >= percent * union of their sets of k-word shingles, A-Z read as a-z, words
-    parted by ASCII white space; fewer than k words make one shingle. component_id is the smallest doc_id that links
+    parted by ASCII white space; fewer than k words make one shingle. n_links is the number of other rows with an id
+    that link with the row directly; component_id is the smallest doc_id that links
     lead to, one's own included. No link is lost from 90 percent on, but for a clash of 64-bit hashes; below,
     see EXACT_FROM. Null and empty texts have no
     shingles and link with nothing; equal texts, repeated rows and ties of id each keep their row; a row whose doc_id
-    is null has no component; an empty table gives none; other columns are not read.
+    is null has no links and no component; an empty table gives none; other columns are not read.
     """
     sign = partition_signatures(percent) if percent >= EXACT_FROM else sliced_signatures(percent)
-    owned, linked = classes(docs, whole_texts, k, percent, sign)
-    full = owned.hint("merge").join(linked.withColumnRenamed("node", "item").hint("merge"), "item", "left")
-    full = cut(full.select("id", "n", F.coalesce("root", "item").alias("root")))
+    owned, linked, counted = classes(docs, whole_texts, k, percent, sign)
+    copies = owned.where("id is not null").groupBy("item").agg(F.count("*").alias("times"))
+    items = cut(
+        copies.hint("merge").join(counted.hint("merge"), "item", "left").join(linked.withColumnRenamed("node", "item").hint("merge"), "item", "left")
+        .select("item", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), "root")
+    )
+    full = owned.hint("merge").join(items.hint("merge"), "item", "left")
+    full = cut(full.select("id", "n", "n_links", F.coalesce("root", "item").alias("root")))
     heads = cut(full.groupBy("root").agg(F.min("id").alias("component_id")))
-    alike = full.hint("merge").join(heads.hint("merge"), "root").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    known = F.col("id").isNotNull()
+    alike = full.hint("merge").join(heads.hint("merge"), "root").select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(known, F.col("n_links")).alias("n_links"), F.when(known, F.col("component_id")).alias("component_id")
+    )
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    blank = docs.where(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]")) == 0).select(F.col("doc_id").cast("bigint"), F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").cast("bigint").alias("component_id"))
+    there, none = F.col("doc_id").cast("bigint"), F.lit(0).cast("bigint")
+    blank = docs.where(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]")) == 0)
+    blank = blank.select(there.alias("doc_id"), none.alias("n_shingles"), F.when(there.isNotNull(), none).alias("n_links"), there.alias("component_id"))
     return alike.unionByName(blank)
 
 
@@ -45,5 +56,5 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of all documents: 3-word shingles, similarity 0.9 or more."""
+    """Links and components of all documents: 3-word shingles, similarity 0.9 or more."""
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)

@@ -52,8 +52,9 @@ ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": f"""WITH RECURSIVE lines AS ({_LINES}), {_sets("FROM lines", 5, LEAST_WORDS)}, {_links(80)}, {_REACH}, {_PLACES}, {_RUNS}
 SELECT d // 1000000 doc_id, a.first first_word, a.m n_words, root // 1000000 kept_doc_id, b.first kept_word, 'line' AS kind FROM c JOIN f a ON a.key = d JOIN f b ON b.key = root WHERE root <> d
 UNION ALL SELECT doc_id, min(pos)::INT, (max(pos) + {WINDOW} - min(pos))::INT, arg_min(kd, pos), arg_min(ka, pos)::INT, 'run' FROM r51 GROUP BY doc_id, run""",
-    "op7_ngram_jaccard_join": f"""WITH RECURSIVE {_sets("SELECT doc_id AS key, text FROM documents", 3)}, {_links(90)}, {_REACH}
-SELECT doc_id, coalesce(n, 0) n_shingles, coalesce(root, doc_id) component_id FROM documents LEFT JOIN n ON key = doc_id LEFT JOIN c ON d = doc_id""",
+    "op7_ngram_jaccard_join": f"""WITH RECURSIVE {_sets("SELECT doc_id AS key, text FROM documents", 3)}, {_links(90)}, {_REACH},
+m AS (SELECT x, count(*) n_links FROM e GROUP BY x)
+SELECT doc_id, coalesce(n, 0) n_shingles, coalesce(n_links, 0) n_links, coalesce(root, doc_id) component_id FROM documents LEFT JOIN n ON key = doc_id LEFT JOIN m ON x = doc_id LEFT JOIN c ON d = doc_id""",
     "op10_embedding_near_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] v FROM embeddings),
 l AS (SELECT a.vec_id x, b.vec_id y FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.95), {_REACH},
 m AS (SELECT x, count(*) n FROM e GROUP BY x)

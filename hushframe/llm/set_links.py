@@ -9,7 +9,7 @@ its content, so that copies cost nothing past the first pass. The steps:
 3. `verified`: the items of each group meet in blocks: the incidence matrices of two blocks of rows are multiplied,
    a block of columns at a time, and pairs are dropped as soon as their sizes and the columns to come rule them out.
    A group of n short items makes (n / BLOCK)**2 / 2 tasks of bounded size, and more if they are long; a task returns
-   at most a spanning forest.
+   at most a spanning forest, and each item's number of links.
 4. `classes`: components of the links.
 """
 
@@ -309,17 +309,18 @@ def _product(x: list[np.ndarray], y: list[np.ndarray], same: bool, percent: int)
 
 
 def verified(docs: DataFrame, units: Units, k: int, percent: int, found: DataFrame, owned: DataFrame) -> DataFrame:
-    """(a, b): links between different items of `found` (node, root), enough of them to connect whatever is linked.
+    """(a, b, links): links a-b between different items of `found` (node, root), enough of them to connect whatever is
+    linked; and, where b is null, a number of units that item a's units link with, of other items: its sum counts all.
 
     owned: `members` of docs. One unit stands for each item; its text comes along, and its set is made in the task
     that multiplies it.
     """
-    stands = owned.where("id is not null").groupBy("item").agg(F.min(F.struct("id", "row", "number")).alias("at"), F.max("n").alias("n"))
+    stands = owned.where("id is not null").groupBy("item").agg(F.min(F.struct("id", "row", "number")).alias("at"), F.max("n").alias("n"), F.count("*").alias("times"))
     placed = cut(found.withColumnRenamed("node", "item").hint("merge").join(stands.hint("merge"), "item"))
     size = cut(placed.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / WEIGHT)).cast("int").alias("blocks")))
     items = placed.hint("merge").join(size.hint("merge"), "root").withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
     # of one text: as many entries as it has units
-    by_text = items.groupBy(F.col("at.id").alias("id"), F.col("at.row").alias("row")).agg(F.collect_list(F.struct("at.number", "item", "root", "block", "blocks")).alias("want"))
+    by_text = items.groupBy(F.col("at.id").alias("id"), F.col("at.row").alias("row")).agg(F.collect_list(F.struct("at.number", "item", "root", "block", "blocks", "times")).alias("want"))
     with_text = _texts(docs).join(cut(by_text).hint("shuffle_hash"), ["id", "row"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +328,7 @@ def verified(docs: DataFrame, units: Units, k: int, percent: int, found: DataFra
             buf, starts = textops.payload(batch.column("t"))
             begin, end, bounds, row, number = units(buf, starts)
             where = {key: u for u, key in enumerate(zip(row.tolist(), number.tolist()))}
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for r, want in enumerate(batch.column("want").to_pylist()):
                 for w in want:
                     u = where.get((r, w["number"]))
@@ -335,40 +336,52 @@ def verified(docs: DataFrame, units: Units, k: int, percent: int, found: DataFra
                         continue
                     lo, hi = bounds[u], bounds[u + 1]
                     piece = buf[begin[lo] : end[hi - 1]].tobytes()
-                    for o, v in zip(out, (w["root"], w["item"], w["block"], w["blocks"], piece)):
+                    for o, v in zip(out, (w["root"], w["item"], w["block"], w["blocks"], w["times"], piece)):
                         o.append(v)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["root", "item", "block", "blocks", "t"]
+                [pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))],
+                names=["root", "item", "block", "blocks", "times", "t"],
             )
 
-    texts = with_text.mapInArrow(fetch, "root bigint, item bigint, block int, blocks int, t binary")
+    texts = with_text.mapInArrow(fetch, "root bigint, item bigint, block int, blocks int, times bigint, t binary")
     other = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = other.select("root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "item", "t")
+    tasks = other.select("root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "item", "times", "t")
 
     def multiply(key: tuple, rows: pa.Table) -> pa.Table:
         buf, starts = textops.payload(rows.column("t").combine_chunks())
         begin, end, bounds = textops.words(buf, starts)
         sets = textops.shingle_sets(textops.word_hashes(buf, begin, end), bounds, k)
         x, y = key[1].as_py(), key[2].as_py()
-        ids, block = rows.column("item").to_numpy(), rows.column("block").to_numpy()
+        ids, block, times = (rows.column(c).to_numpy() for c in ("item", "block", "times"))
         # a repeated row stands for its item twice, and another text of the same id for none
         own = np.flatnonzero(textops.set_id(sets).view(np.int64) == ids)
         own = own[np.unique(ids[own], return_index=True)[1]]
-        sets, ids, block = [sets[i] for i in own], ids[own], block[own]
+        sets, ids, block, times = [sets[i] for i in own], ids[own], block[own], times[own]
         ix, iy = np.flatnonzero(block == x), np.flatnonzero(block == y)
-        if not len(ix) or not len(iy):
-            a = b = np.empty(0, np.int64)
-        else:
+        a = b = np.empty(0, np.int64)
+        links = np.zeros(len(ids), np.int64)
+        if len(ix) and len(iy):
             i, j = _product([sets[n] for n in ix], [sets[n] for n in iy], x == y, percent)
-            a, b = ids[ix[i]], ids[iy[j]]
-            a, b = forest(a, b) if len(a) else (a, b)
-        return pa.table({"a": a, "b": b})
-
-    return tasks.groupBy("root", "x", "y").applyInArrow(multiply, "a bigint, b bigint")
-
-
-def classes(docs: DataFrame, units: Units, k: int, percent: int, sign, least: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(members, (node, root)): the units of docs, and the items that are linked, directly or through others, by class."""
+            i, j = ix[i], iy[j]
+            if len(i):
+                a, b = forest(ids[i], ids[j])
+                for one, other in ((i, j), (j, i)):
+                    links += np.bincount(one, weights=times[other], minlength=len(ids)).astype(np.int64)
+        some = np.flatnonzero(links)
+        no_a, no_b = pa.nulls(len(a), pa.int64()), pa.nulls(len(some), pa.int64())
+        return pa.table({
+            "a": np.concatenate([a, ids[some]]), "b": pa.chunked_array([pa.array(b, pa.int64()), no_b]), "links": pa.chunked_array([no_a, pa.array(links[some], pa.int64())]),
+        })
+
+    return tasks.groupBy("root", "x", "y").applyInArrow(multiply, "a bigint, b bigint, links bigint")
+
+
+def classes(docs: DataFrame, units: Units, k: int, percent: int, sign, least: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, (node, root), (item, links)): the units of docs, the items that are linked, directly or through others, by
+    class, and how many units of other items each one's units link with directly, if any.
+    """
     owned = cut(members(docs, units, k, least))
     found = candidates(docs, units, k, sign, least)
-    return owned, cut(connected_components(cut(verified(docs, units, k, percent, found, owned))))
+    links = cut(verified(docs, units, k, percent, found, owned))
+    counted = links.where("b is null").groupBy(F.col("a").alias("item")).agg(F.sum("links").alias("links"))
+    return owned, cut(connected_components(links)), counted

@@ -39,7 +39,7 @@ def repeated_passages(docs: DataFrame, k: int = 5, percent: int = 80, least: int
     text_key tells the texts of one id apart; rows with a null doc_id are left alone; an empty table gives none; other
     columns, whatever their names, are not read.
     """
-    owned, linked = classes(docs, paragraphs, k, percent, minhash_signatures(tune_bands(percent), ROWS), least)
+    owned, linked, _ = classes(docs, paragraphs, k, percent, minhash_signatures(tune_bands(percent), ROWS), least)
     # of rows that are repeated, the same paragraph once
     owned = owned.where("id is not null").dropDuplicates(["id", "row", "number"])
     full = owned.hint("merge").join(linked.withColumnRenamed("node", "item").hint("merge"), "item", "left")
