@@ -6,7 +6,6 @@ import hashlib
 import json
 import os
 import re
-import uuid
 from collections.abc import Iterator
 from importlib import metadata
 
@@ -15,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import cut, shared_folder, slices, table
+from hushframe.llm.common import cut, scratch, slices, table
 
 #: Texts above this many tokens are over the limit.
 LIMIT = 512
@@ -152,6 +151,6 @@ def _read(spark: SparkSession, cache: str) -> DataFrame:
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts for all documents, through a cache of this run's own, so that its figures hold every encoding."""
     docs = table(spark, sf_dir, "documents")
-    cache = f"{shared_folder(spark)}/token-cache-{uuid.uuid4().hex}"
+    cache = f"{scratch(spark, 'token-cache')}/counts"
     counted = count_tokens(docs, tokenizer_file(), cache)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
