@@ -41,7 +41,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     )
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     there, none = F.col("doc_id").cast("bigint"), F.lit(0).cast("bigint")
-    blank = docs.where(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]")) == 0)
+    blank = docs.where(~text.rlike(r"[^\x20\x09-\x0D]"))
     blank = blank.select(there.alias("doc_id"), none.alias("n_shingles"), F.when(there.isNotNull(), none).alias("n_links"), there.alias("component_id"))
     return alike.unionByName(blank)
 
