@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -14,6 +15,9 @@ from hushframe.taxonomy import label_of
 #: What counts as white space: Java's Unicode class and the four separators that it leaves out.
 SPACE = r"[\s\x1c-\x1f]"
 FAR = 2**31 - 1
+#: Characters of a piece of a text.
+CELL_BITS = 6
+CELL = 1 << CELL_BITS
 
 
 def cut(text: Column, start: Column, end: Column) -> Column:
@@ -21,6 +25,38 @@ def cut(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), for which value is worked out once: the end of a fold over nothing, which copies neither."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda known, _: known, body)
+
+
+def cells(text: Column) -> Column:
+    """The text in pieces of CELL characters and an empty one, for `cut_cells`: a place in a text is found by walking from its beginning.
+
+    Larger pieces are taken first, so that the walks stay short.
+    """
+
+    def pieces(t: Column, size: int) -> Column:
+        last = F.floor(F.greatest(F.length(t) - 1, F.lit(0)) / size).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(t, i * size + 1, F.lit(size)))
+
+    def parts(t: Column, sizes: tuple[int, ...]) -> Column:
+        if len(sizes) == 1:
+            return pieces(t, sizes[0])
+        return F.flatten(F.transform(pieces(t, sizes[0]), lambda p: parts(p, sizes[1:])))
+
+    return F.concat(let(text, lambda t: parts(t, (CELL << 8, CELL << 4, CELL))), F.array(F.lit("")))
+
+
+def cut_cells(text: Column, pieces: Column, start: Column, end: Column) -> Column:
+    """As `cut`, of a text whose `cells` are there: time grows with what is cut, not with where it is."""
+    first, last = F.shiftright(start, CELL_BITS), F.shiftright(end - 1, CELL_BITS)
+    at, size = start.bitwiseAND(F.lit(CELL - 1)) + 1, end - start
+    one = F.substring(F.get(pieces, F.least(first, F.size(pieces) - 1)), at, size)
+    more = F.substring(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), at, size)
+    return F.when(start < 0, cut(text, start, end)).when(end <= start, F.substring(text, 1, 0)).when(first == last, one).otherwise(more)
+
+
 def is_blank(text: Column) -> Column:
     """Whether nothing but white space is there; also for the empty text."""
     return text.rlike(rf"^(?U){SPACE}*$")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.functions.exact import round4
-from hushframe.functions.text import cut, is_blank
+from hushframe.functions.text import cells, cut_cells, is_blank, let
 from hushframe.taxonomy import checked
 
 SPAN = "struct<start:int,end:int,category:string,l1:string,text:string,score:double,parts:int>"
@@ -34,9 +34,7 @@ def gathered(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     order = F.struct(
         "start", (F.col("start") - F.col("end")).alias("shrink"), "span_idx", "end", "category", "l1", "text", F.col("score").cast("double").alias("score")
     )
-    rows = spans.where(F.col("end") > F.col("start")).groupBy(key).agg(F.array_sort(F.collect_list(order)).alias("spans"))
-    parts = F.transform("spans", lambda s: _span(s["start"], s["end"], s, s["text"], s["score"], F.lit(1)))
-    return rows.withColumn("spans", parts)
+    return spans.where(F.col("end") > F.col("start")).groupBy(key).agg(F.sort_array(F.collect_list(order)).alias("spans"))
 
 
 def union_in_row(text: Column, spans: Column) -> Column:
@@ -45,29 +43,36 @@ def union_in_row(text: Column, spans: Column) -> Column:
     spans are ordered as `gathered` has them. Spans that only touch stay apart. What the widest covers alone keeps its
     text; a longer range takes its text from the text.
     """
-    none = F.lit(None).cast(SPAN)
-    state = F.struct(F.array().cast(f"array<{SPAN}>").alias("done"), none.alias("open"), F.lit(0).alias("end"))
-
-    def step(acc: Column, s: Column) -> Column:
-        inside = acc["open"].isNotNull() & (s["start"] < acc["end"])
-        wider = s["end"] - s["start"] > acc["open"]["end"] - acc["open"]["start"]
-        # `open` is the widest member with its own range; parts holds where the group begins
-        grown = F.when(wider, _span(s["start"], s["end"], s, s["text"], s["score"], acc["open"]["parts"])).otherwise(acc["open"])
-        fresh = _span(s["start"], s["end"], s, s["text"], s["score"], s["start"])
-        return F.struct(
-            F.when(inside | acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(close(acc)))).alias("done"),
-            F.when(inside, grown).otherwise(fresh).alias("open"),
-            F.when(inside, F.greatest(acc["end"], s["end"])).otherwise(s["end"]).alias("end"),
-        )
-
-    def close(acc: Column) -> Column:
-        w = acc["open"]
-        start, end = w["parts"], acc["end"]
-        own = F.when((w["start"] == start) & (w["end"] == end), w["text"]).otherwise(cut(text, start, end))
+    return let(cells(text), lambda pieces: _united(text, pieces, spans))
+
+
+def _united(text: Column, pieces: Column, given: Column) -> Column:
+    """No step copies what was done before, so the time grows with the number of spans and not with its square.
+
+    A group begins where as many spans have ended as have begun: at i if the i-th of the sorted ends isn't after its
+    start. The widest of a group has the greatest key, its width before its place from the end.
+    """
+
+    def groups(spans: Column, ends: Column, keys: Column, heads: Column) -> Column:
+        def one(head: Column, k: Column) -> Column:
+            after = F.coalesce(F.get(heads, k + 1), F.size(spans))
+            best = F.pmod(-F.array_max(F.slice(keys, head + 1, after - head)), F.lit(1 << 32)).cast("int")
+            return let(F.struct(F.get(spans, F.when(after == head + 1, head).otherwise(best)).alias("w"), F.get(spans, head)["start"].alias("start"), F.get(ends, after - 1).alias("end")), close)
+
+        return F.transform(heads, one)
+
+    def close(g: Column) -> Column:
+        w, start, end = g["w"], g["start"], g["end"]
+        own = F.when((w["start"] == start) & (w["end"] == end), w["text"]).otherwise(cut_cells(text, pieces, start, end))
         return _span(start, end, w, own, w["score"], F.lit(1))
 
-    done = F.aggregate(spans, state, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(close(acc)))))
-    return F.when(spans.isNull(), F.array().cast(f"array<{SPAN}>")).otherwise(done)
+    def sweep(spans: Column) -> Column:
+        key = F.transform(spans, lambda s, i: F.shiftleft((s["end"] - s["start"]).cast("long"), 32) - i)
+        places = lambda ends: F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: (i == 0) | (F.get(ends, i - 1) <= F.get(spans, i)["start"]))
+        return let(F.sort_array(F.transform(spans, lambda s: s["end"])), lambda ends: let(key, lambda keys: let(places(ends), lambda heads: groups(spans, ends, keys, heads))))
+
+    none = F.array().cast(f"array<{SPAN}>")
+    return let(given, lambda spans: F.when(F.size(spans) > 0, sweep(spans)).otherwise(none))
 
 
 def merge_in_row(text: Column, spans: Column) -> Column:
@@ -75,33 +80,42 @@ def merge_in_row(text: Column, spans: Column) -> Column:
 
     The score is the least of the parts' (to be rounded where parts > 1), or null if one has none.
     """
-    none = F.lit(None).cast(SPAN)
-    state = F.struct(F.array().cast(f"array<{SPAN}>").alias("done"), none.alias("open"))
-
-    def step(acc: Column, s: Column) -> Column:
-        o = acc["open"]
-        joins = o.isNotNull() & (o["category"] == s["category"]) & is_blank(cut(text, o["end"], s["start"]))
-        low = F.when(o["score"].isNotNull() & s["score"].isNotNull(), F.least(o["score"], s["score"]))
-        both = _span(o["start"], s["end"], o, cut(text, o["start"], s["end"]), low, o["parts"] + 1)
-        return F.struct(
-            F.when(joins | o.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(o))).alias("done"),
-            F.when(joins, both).otherwise(s).alias("open"),
-        )
-
-    return F.aggregate(
-        union_in_row(text, spans), state, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
-    )
+    return let(cells(text), lambda pieces: let(_united(text, pieces, spans), lambda united: _merged(text, pieces, united)))
+
+
+def _merged(text: Column, pieces: Column, united: Column) -> Column:
+    """Whether a union joins hangs on the one before it alone; a run of joining ones is a slice."""
+
+    def joins(i: Column) -> Column:
+        return let(F.struct(F.get(united, i - 1).alias("o"), F.get(united, i).alias("s")), lambda p: (p["o"]["category"] == p["s"]["category"])
+            & ((p["o"]["end"] == p["s"]["start"]) & text.isNotNull() | is_blank(cut_cells(text, pieces, p["o"]["end"], p["s"]["start"]))))
+
+    def run(heads: Column) -> Column:
+        def one(head: Column, k: Column) -> Column:
+            n = F.coalesce(F.get(heads, k + 1), F.size(united)) - head
+            return F.when(n == 1, F.get(united, head)).otherwise(let(F.slice(united, head + 1, n), several))
+
+        return F.transform(heads, one)
+
+    def several(members: Column) -> Column:
+        first, end = F.get(members, F.lit(0)), F.element_at(members, -1)["end"]
+        scores = F.transform(members, lambda s: s["score"])
+        low = F.when(~F.exists(scores, lambda x: x.isNull()), F.array_min(scores))
+        return _span(first["start"], end, first, cut_cells(text, pieces, first["start"], end), low, F.size(members))
+
+    heads = F.filter(F.sequence(F.lit(0), F.size(united) - 1), lambda i: (i == 0) | ~F.coalesce(joins(i), F.lit(False)))
+    return F.when(F.size(united) > 0, let(heads, run)).otherwise(united)
 
 
 def rebuilt(text: Column, spans: Column, substitute: Callable[[Column], Column]) -> Column:
     """text with each of its spans, disjoint and in order, replaced by substitute(span); gaps are taken once each."""
     n = F.size(spans)
-    at = lambda i: F.element_at(spans, i)
-    pieces = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.concat(cut(text, F.when(i == 1, F.lit(0)).otherwise(at(F.greatest(i - 1, F.lit(1)))["end"]), at(i)["start"]), substitute(at(i))),
-    )
-    whole = F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(spans, -1)["end"] + 1, 2**31 - 1))
+
+    def pieces(parts: Column) -> Column:
+        gap = lambda s, i: cut_cells(text, parts, F.coalesce(F.get(spans, i - 1)["end"], F.lit(0)), s["start"])
+        return F.transform(spans, lambda s, i: F.concat(gap(s, i), substitute(s)))
+
+    whole = F.concat(F.array_join(let(cells(text), pieces), ""), F.substring(text, F.element_at(spans, -1)["end"] + 1, 2**31 - 1))
     return F.when(n > 0, whole).otherwise(text)
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,3 +117,27 @@ def test_plan_has_one_text_shuffle_and_no_python(spark):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     plan = S.redact(docs.select("doc_id", "text"), rule_spans(docs))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and "Python" not in plan and "Arrow" not in plan
+
+
+def test_one_long_text_with_very_many_spans(spark):
+    """Time grows with the spans of a text, not with their square."""
+    n = 100_000
+    text = "ab 🙂cde " * n
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    i = F.col("id").cast("int")
+    at = i * 8 + F.pmod(i * 7, F.lit(5))
+    spans = spark.range(n).select(
+        F.lit(1).cast("bigint").alias("doc_id"), i.alias("span_idx"), F.when(i % 3 == 0, "email").otherwise("age").alias("category"), at.alias("start"), (at + 1 + i % 11).alias("end"),
+        F.lit("x").alias("l1"), F.lit("own").alias("text"), F.lit(0.5).alias("score"),
+    )
+    began = time.perf_counter()
+    merged = S.merge_adjacent(docs, spans, rounded=False).orderBy("start").collect()
+    masked = texts(S.redact(docs, spans, "#"))[1]
+    assert time.perf_counter() - began < 60
+    given = [(s := 8 * k + 7 * k % 5, s + 1 + k % 11, "age" if k % 3 else "email", 0.5, k) for k in range(n)]
+    expected = reference_merge(text, given)
+    assert [(r["start"], r["end"], r["category"], r["score"]) for r in merged] == expected
+    alone = {(s[0], s[1]) for s in given}
+    assert all(r["text"] == text[r["start"] : r["end"]] or (r["start"], r["end"]) in alone and r["text"] == "own" for r in merged)
+    edges = [0, *(x for r in expected for x in r[:2]), len(text)]
+    assert masked == "#".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
