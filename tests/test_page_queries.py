@@ -118,3 +118,26 @@ def test_a_model_from_texts_to_redaction(spark):
     found = tokens.decoded(docs, models.token_labels(docs, detector))
     assert sorted((r["doc_id"], r["start"], r["end"], r["category"], r["score"]) for r in found.collect()) == [(1, 4, 8, "other_person_name", 0.75), (1, 13, 16, "other_person_name", 0.75)]
     assert {r["doc_id"]: r["text"] for r in spans.redact(docs, found, "[{l1}]").collect()} == {1: "met [person] and [person] there", 2: "no one", 3: None, 4: ""}
+
+
+def test_pages_go_to_python_in_batches(spark):
+    """No Python call and no pandas frame for each page; small pages by plain numbers as large ones by arrays."""
+    import random
+
+    from hushframe.operators import blocks
+
+    rows = [(p, i, "age", "text", (9 * i, 0, 9 * i + 5, 10), f"w{i}") for p in range(300) for i in range(3)]
+    e = spark.createDataFrame(rows, "page_id bigint, ent_idx int, category string, kind string, bbox struct<x0:int,y0:int,x1:int,y1:int>, text string")
+    g = blocks.numbered_groups(blocks.grouped(e))
+    plan = g._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan
+    assert [tuple(r) for r in g.select("group_idx", "text", "label_idx").distinct().collect()] == [(0, "w0 w1 w2", 0)] and g.count() == 300
+    draw = random.Random(3)
+    for _ in range(200):
+        boxes = [(x := draw.randrange(200), y := draw.randrange(90), x + draw.randrange(60), y + draw.randrange(40)) for _ in range(draw.randrange(1, 60))]
+        few = blocks.place_lines(boxes), blocks.label_rows(boxes)
+        kept, blocks.FEW = blocks.FEW, 0
+        try:
+            assert few == (blocks.place_lines(boxes), blocks.label_rows(boxes))
+        finally:
+            blocks.FEW = kept
