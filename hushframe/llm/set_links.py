@@ -8,8 +8,8 @@ its content, so that copies cost nothing past the first pass. The steps:
    input, then sorted by range in numpy. Items that share a signature are joined to groups (connected components).
 3. `verified`: the items of each group meet in blocks: the incidence matrices of two blocks of rows are multiplied,
    a block of columns at a time, and pairs are dropped as soon as their sizes and the columns to come rule them out.
-   A group of n short items makes (n / BLOCK)**2 / 2 tasks of bounded size, and more if they are long; a task returns
-   at most a spanning forest, and each item's number of links.
+   A group of n short items is cut into n / BLOCK blocks, at most 8 until blocks are 16 times as large; a task takes two
+   blocks, multiplies them part by part, and returns at most a spanning forest, and each item's number of links.
 4. `classes`: components of the links.
 """
 
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from hushframe.llm import textops
 from hushframe.llm.common import connected_components, cut, forest, partitions, slices
 
-#: Rows and shingles of a block of items, about, and n-gram columns that are multiplied at once.
+#: Rows and shingles that are multiplied at once, about, and their n-gram columns.
 BLOCK, WEIGHT, COLUMNS = 512, 1 << 16, 4096
+#: Blocks of that size that a group is cut into; the blocks of larger groups grow, up to so many times.
+FEW_BLOCKS, GROWN = 8, 16
 #: Signatures that are packed at once.
 PACKED = 1 << 20
 U = np.uint64
@@ -308,6 +310,19 @@ def _product(x: list[np.ndarray], y: list[np.ndarray], same: bool, percent: int)
     return np.nonzero(alive & (got >= need))
 
 
+def blocks_of(items: Column, shingles: Column) -> Column:
+    """How many blocks a group is cut into: each of its texts goes to so many tasks, so large groups get larger blocks."""
+    least = F.greatest(items / BLOCK, shingles / WEIGHT)
+    return F.ceil(F.greatest(F.least(least, F.lit(float(FEW_BLOCKS))), least / GROWN)).cast("int")
+
+
+def _parts(which: np.ndarray, sets: list[np.ndarray]) -> list[np.ndarray]:
+    """A block's items in runs that are multiplied at once."""
+    upto = np.cumsum([len(sets[n]) for n in which])
+    number = np.maximum(np.arange(len(which)) // BLOCK, upto // WEIGHT)
+    return np.split(which, np.flatnonzero(np.diff(number)) + 1)
+
+
 def verified(docs: DataFrame, units: Units, k: int, percent: int, found: DataFrame, owned: DataFrame) -> DataFrame:
     """(a, b, links): links a-b between different items of `found` (node, root), enough of them to connect whatever is
     linked; and, where b is null, a number of units that item a's units link with, of other items: its sum counts all.
@@ -317,7 +332,7 @@ def verified(docs: DataFrame, units: Units, k: int, percent: int, found: DataFra
     """
     stands = owned.where("id is not null").groupBy("item").agg(F.min(F.struct("id", "row", "number")).alias("at"), F.max("n").alias("n"), F.count("*").alias("times"))
     placed = cut(found.withColumnRenamed("node", "item").hint("merge").join(stands.hint("merge"), "item"))
-    size = cut(placed.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / WEIGHT)).cast("int").alias("blocks")))
+    size = cut(placed.groupBy("root").agg(blocks_of(F.count("*"), F.sum("n")).alias("blocks")))
     items = placed.hint("merge").join(size.hint("merge"), "root").withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
     # of one text: as many entries as it has units
     by_text = items.groupBy(F.col("at.id").alias("id"), F.col("at.row").alias("row")).agg(F.collect_list(F.struct("at.number", "item", "root", "block", "blocks", "times")).alias("want"))
@@ -358,15 +373,21 @@ def verified(docs: DataFrame, units: Units, k: int, percent: int, found: DataFra
         own = own[np.unique(ids[own], return_index=True)[1]]
         sets, ids, block, times = [sets[i] for i in own], ids[own], block[own], times[own]
         ix, iy = np.flatnonzero(block == x), np.flatnonzero(block == y)
-        a = b = np.empty(0, np.int64)
+        none = np.empty(0, np.int64)
+        tied = [(none, none)]
         links = np.zeros(len(ids), np.int64)
         if len(ix) and len(iy):
-            i, j = _product([sets[n] for n in ix], [sets[n] for n in iy], x == y, percent)
-            i, j = ix[i], iy[j]
-            if len(i):
-                a, b = forest(ids[i], ids[j])
-                for one, other in ((i, j), (j, i)):
-                    links += np.bincount(one, weights=times[other], minlength=len(ids)).astype(np.int64)
+            xs, ys = _parts(ix, sets), _parts(iy, sets)
+            for p, q in ((p, q) for p in range(len(xs)) for q in range(p if x == y else 0, len(ys))):
+                same = x == y and p == q
+                i, j = _product([sets[n] for n in xs[p]], [sets[n] for n in ys[q]], same, percent)
+                i, j = xs[p][i], ys[q][j]
+                if len(i):
+                    tied.append(forest(ids[i], ids[j]))
+                    for one, other in ((i, j), (j, i)):
+                        links += np.bincount(one, weights=times[other], minlength=len(ids)).astype(np.int64)
+        a, b = (np.concatenate(t) for t in zip(*tied))
+        a, b = forest(a, b) if len(a) else (a, b)
         some = np.flatnonzero(links)
         no_a, no_b = pa.nulls(len(a), pa.int64()), pa.nulls(len(some), pa.int64())
         return pa.table({
