@@ -3,6 +3,7 @@
 A spans table has doc_id, span_idx, category, start, end, l1, text and score; offsets are half-open and count
 characters. The rules are expressions on one row, a text and the array of its spans, so a stream runs what a batch
 runs; the table forms below gather the spans of each text once and meet the texts once.
+`operators.dense` has the same rules for many spans in each text.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from hushframe.functions.text import cells, cut_cells, is_blank, let
 from hushframe.taxonomy import checked
 
 SPAN = "struct<start:int,end:int,category:string,l1:string,text:string,score:double,parts:int>"
+PLACED = "struct<start:int,shrink:int,span_idx:int,end:int,category:string,l1:string,text:string,score:double>"
 SPAN_COLUMNS = "doc_id bigint, span_idx int, category string, start int, end int, l1 string, text string, score double"
 REDACTED = "[REDACTED]"
 
@@ -29,11 +31,17 @@ def _span(start: Column, end: Column, like: Column, text: Column, score: Column,
     )
 
 
+def placed(start: Column, end: Column, span_idx: Column, category: Column, l1: Column, text: Column, score: Column) -> Column:
+    """A span whose order is that of the spans of a text: by start, then the longer, then span_idx."""
+    return F.struct(
+        start.alias("start"), (start - end).alias("shrink"), span_idx.alias("span_idx"), end.alias("end"), category.alias("category"), l1.alias("l1"), text.alias("text"),
+        score.cast("double").alias("score"),
+    )
+
+
 def gathered(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, spans): the spans of each text, by start, then the longer, then span_idx. Empty and inverted ones are left out."""
-    order = F.struct(
-        "start", (F.col("start") - F.col("end")).alias("shrink"), "span_idx", "end", "category", "l1", "text", F.col("score").cast("double").alias("score")
-    )
+    order = placed(*[F.col(c) for c in ("start", "end", "span_idx", "category", "l1", "text", "score")])
     return spans.where(F.col("end") > F.col("start")).groupBy(key).agg(F.sort_array(F.collect_list(order)).alias("spans"))
 
 
@@ -119,16 +127,30 @@ def rebuilt(text: Column, spans: Column, substitute: Callable[[Column], Column])
     return F.when(n > 0, whole).otherwise(text)
 
 
-def mask(template: str = REDACTED) -> Callable[[Column], Column]:
-    """A substitute: the template as it is, or with {category} and {l1} filled in. Other fields are a ValueError."""
+def _fields(template: str) -> list[str]:
+    """The parts of a template: {category}, {l1}, {{, }} and what is between. Other fields are a ValueError."""
     if "{" not in template:
-        return lambda s: F.lit(template)
+        return [template]
     parts = re.split(r"(\{\{|\}\}|\{[^{}]*\})", template)
     for p in parts:
         if p.startswith("{") and p not in ("{{", "{category}", "{l1}") or p not in ("}}", "{{", "{category}", "{l1}") and ("}" in p or "{" in p):
             raise ValueError(f"mask fields are {{category}} and {{l1}}, not {p!r}")
+    return [p for p in parts if p]
+
+
+def mask(template: str = REDACTED) -> Callable[[Column], Column]:
+    """A substitute: the template as it is, or with {category} and {l1} filled in. Other fields are a ValueError."""
+    parts = _fields(template)
+    if parts == [template]:
+        return lambda s: F.lit(template)
     piece = {"{{": lambda s: F.lit("{"), "}}": lambda s: F.lit("}"), "{category}": lambda s: s["category"], "{l1}": lambda s: s["l1"]}
-    return lambda s: F.concat(*[piece[p](s) if p in piece else F.lit(p) for p in parts if p])
+    return lambda s: F.concat(*[piece[p](s) if p in piece else F.lit(p) for p in parts])
+
+
+def mask_of(template: str = REDACTED) -> Callable[[str, str], str]:
+    """As `mask`, from the plain category and l1."""
+    parts = _fields(template)
+    return lambda category, l1: "".join({"{{": "{", "}}": "}", "{category}": category, "{l1}": l1}.get(p, p) for p in parts) if parts != [template] else template
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushframe.functions.pixels import to_png
+from hushframe.functions.text import let
 from hushframe.operators.boxes import box
+from hushframe.operators.spans import placed
 from hushframe.taxonomy import group_of
 
 KINDS = ("email", "age", "country")
@@ -30,6 +32,33 @@ def made_spans(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "span_idx", "category", start.alias("start"), (start + F.length("text")).alias("end"), group_of(F.col("category")).alias("l1"), "text", "score")
 
 
+def made_in_row(doc_id: Column, text: Column) -> Column:
+    """The array of a text's `made_spans`, by expressions on the one row; null for the null text.
+
+    Where the five spans lie and what they are hangs on the document alone and is worked out once; pieces of a text come in order.
+    """
+
+    def span(k: int) -> Column:
+        kind = F.element_at(F.array(*map(F.lit, KINDS)), ((doc_id + k) % 3 + 1).cast("int"))
+        score = F.when((doc_id + k) % 5 != 0, ((doc_id * k) % 4 + 5).cast("double") / F.lit(10.0))
+        start, size = ((doc_id * 7 + k * 5) % 30).cast("int"), (1 + (doc_id + k * 3) % 8).cast("int")
+        return F.struct(start.alias("start"), size.alias("size"), (start + size).alias("end"), F.lit(k).alias("k"), kind.alias("category"), group_of(kind).alias("l1"), score.alias("score"))
+
+    def cut(five: Column, n: Column) -> Column:
+        inside = F.filter(five, lambda s: s["start"] < n)
+        size = lambda s: F.least(s["size"], n - s["start"])
+        return F.transform(inside, lambda s: F.struct(s["start"], size(s).alias("size"), (s["start"] + size(s)).alias("end"), s["k"], s["category"], s["l1"], s["score"]))
+
+    def piece(t: Column, at: Column, five: Column) -> Column:
+        # the spans of a whole piece end within it
+        inside = let(F.length(t), lambda n: F.when(n == 40, five).otherwise(cut(five, n)))
+        one = lambda s, first: placed(first + s["start"], first + s["end"], at * 5 + s["k"], s["category"], s["l1"], F.substring(t, s["start"] + 1, s["size"]), s["score"])
+        return let(at * 40, lambda first: F.transform(inside, lambda s: one(s, first)))
+
+    pieces = F.regexp_extract_all(text, F.lit("(?s).{1,40}"), F.lit(0))
+    return let(F.sort_array(F.array(*map(span, range(5)))), lambda five: F.flatten(F.transform(pieces, lambda t, at: piece(t, at, five))))
+
+
 def made_tokens(docs: DataFrame) -> DataFrame:
     """Tokens for the words of each text: labels by word length, in chunks of 20 that overlap by 5, with empty tokens between."""
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split("text", " ")).alias("tok", "w"))
