@@ -129,8 +129,6 @@ def rebuilt(text: Column, spans: Column, substitute: Callable[[Column], Column])
 
 def _fields(template: str) -> list[str]:
     """The parts of a template: {category}, {l1}, {{, }} and what is between. Other fields are a ValueError."""
-    if "{" not in template:
-        return [template]
     parts = re.split(r"(\{\{|\}\}|\{[^{}]*\})", template)
     for p in parts:
         if p.startswith("{") and p not in ("{{", "{category}", "{l1}") or p not in ("}}", "{{", "{category}", "{l1}") and ("}" in p or "{" in p):
@@ -140,17 +138,19 @@ def _fields(template: str) -> list[str]:
 
 def mask(template: str = REDACTED) -> Callable[[Column], Column]:
     """A substitute: the template as it is, or with {category} and {l1} filled in. Other fields are a ValueError."""
-    parts = _fields(template)
-    if parts == [template]:
+    if "{" not in template:
         return lambda s: F.lit(template)
+    parts = _fields(template)
     piece = {"{{": lambda s: F.lit("{"), "}}": lambda s: F.lit("}"), "{category}": lambda s: s["category"], "{l1}": lambda s: s["l1"]}
     return lambda s: F.concat(*[piece[p](s) if p in piece else F.lit(p) for p in parts])
 
 
 def mask_of(template: str = REDACTED) -> Callable[[str, str], str]:
     """As `mask`, from the plain category and l1."""
+    if "{" not in template:
+        return lambda category, l1: template
     parts = _fields(template)
-    return lambda category, l1: "".join({"{{": "{", "}}": "}", "{category}": category, "{l1}": l1}.get(p, p) for p in parts) if parts != [template] else template
+    return lambda category, l1: "".join({"{{": "{", "}}": "}", "{category}": category, "{l1}": l1}.get(p, p) for p in parts)
 
 
 def unused(df: DataFrame, name: str) -> str:

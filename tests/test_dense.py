@@ -20,7 +20,7 @@ ODD = "ab1 \t\n\x1c\x85\xa0    　é٣𝒳🙂,"
 def given(spark):
     """(docs, spans as a table, docs with them as arrays that are not in order)"""
     draw = random.Random(5)
-    docs, found = [(0, None), (1, ""), (2, "no spans"), (3, "x" * 70)], [(0, "email", 0, 3), (1, "email", 0, 1), (3, "age", 4, 4), (3, "age", 9, 5), (3, "email", 60, 90)]
+    docs, found = [(200, "no spans"), (0, None), (1, ""), (2, "spans"), (3, "x" * 70)], [(0, "email", 0, 3), (2, "email", 0, 2), (1, "email", 0, 1), (3, "age", 4, 4), (3, "age", 9, 5), (3, "email", 60, 90)]
     for d in range(4, 200):
         docs.append((d, "".join(draw.choice(ODD) for _ in range(draw.randrange(1, 90)))))
         for _ in range(draw.randrange(12)):
@@ -48,7 +48,9 @@ def test_replaced(given):
     same(dense.apply_mask(rows, F.col("mine"), "#").select("doc_id", "text"), S.apply_mask(docs, spans, "#"))
     same(dense.redact(rows, F.col("mine"), "<{l1}|{category}>{{").select("doc_id", "text"), S.redact(docs, spans, "<{l1}|{category}>{{"))
     same(dense.anonymize(rows, F.col("mine")).select("doc_id", "text"), pseudonyms.anonymize(docs, spans))
-    assert dense.redact(rows, F.col("mine")).columns == rows.columns
+    for template in ("{l1}", "{{", "", "}}", "a}}b"):
+        same(dense.redact(rows, F.col("mine"), template).select("doc_id", "text"), S.redact(docs, spans, template))
+    assert S.mask_of("{l1}")("email", "contact") == "contact" and S.mask_of("}}")("", "") == "}}" and dense.redact(rows, F.col("mine")).columns == rows.columns
     for bad in ("{text}", "{", "{0}"):
         with pytest.raises(ValueError):
             dense.redact(rows, F.col("mine"), bad)
@@ -63,7 +65,7 @@ def test_small_slices(given, monkeypatch):
     monkeypatch.setattr(dense, "SPANS", 7)
     monkeypatch.setattr(dense, "BYTES", 50)
     parts = list(dense._slices(iter(batches), "mine"))
-    assert len(parts) > 50 and pa.Table.from_batches(parts)["doc_id"].to_pylist() == list(range(200))
+    assert len(parts) > 50 and pa.Table.from_batches(parts)["doc_id"].to_pylist() == list(range(201))
     for b in parts:
         found, texts = dense.Spans(b["mine"]), dense.Texts(b["text"])
         found.unite()
