@@ -167,7 +167,8 @@ def with_spans(docs: DataFrame, spans: DataFrame, name: str = "spans") -> DataFr
 
 
 def _exploded(rows: DataFrame) -> DataFrame:
-    out = rows.select("doc_id", F.posexplode("spans").alias("span_idx", "s"))
+    # the outer form: before the other one the optimizer puts a filter that makes the array a second time
+    out = rows.select("doc_id", F.posexplode_outer("spans").alias("span_idx", "s")).where("span_idx is not null")
     return out.select("doc_id", "span_idx", "s.category", "s.start", "s.end", "s.l1", "s.text", "s.score", "s.parts")
 
 

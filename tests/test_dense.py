@@ -92,7 +92,14 @@ def test_made_in_row(spark):
     same(got, inputs.made_spans(docs))
 
 
-@pytest.mark.parametrize("name", ["anonymize_text"])
+@pytest.mark.parametrize("name", ["anonymize_text", "spans_union"])
 def test_made_spans_are_not_shuffled(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "explode([0,1,2,3,4])" not in plan
+
+
+def test_a_table_is_united_once_a_text(spark):
+    """A filter on the exploded array would unite each text's spans a second and third time."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = S.union_overlapping(docs, inputs.made_spans(docs))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_max") == 1
