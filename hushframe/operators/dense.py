@@ -19,7 +19,7 @@ from hushframe.functions.generalize import general_of
 from hushframe.operators.spans import REDACTED, SPAN_COLUMNS, mask_of, unused
 
 #: Spans, and bytes of text, that are worked on at once, if a single text has no more.
-SPANS, BYTES = 1 << 17, 2 << 20
+SPANS, BYTES = 1 << 15, 1 << 19
 #: White space of more than one byte, as Unicode and Python have it.
 WIDE_SPACE = np.array(sorted(c for c in range(128, 0x3001) if chr(c).isspace()))
 ASCII_SPACE = np.array([c < 128 and chr(c).isspace() for c in range(256)])

@@ -92,7 +92,7 @@ def test_made_in_row(spark):
     same(got, inputs.made_spans(docs))
 
 
-@pytest.mark.parametrize("name", ["anonymize_text", "spans_union", "mask_without_merge"])
+@pytest.mark.parametrize("name", ["anonymize_text", "spans_union", "mask_without_merge", "redact_l1_mask"])
 def test_made_spans_are_not_shuffled(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "explode([0,1,2,3,4])" not in plan
